@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # texts are hashed in slices of about this size, which bounds the arrays
+SLICE_BYTES = 1 << 20  # texts are hashed in slices of about this size, which bounds the arrays
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
