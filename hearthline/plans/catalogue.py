@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-FLAGSHIP = "monthly_trade_volume"
+from hearthline.plans import market, series
+
+FLAGSHIP = "market_index"
 
 
 def monthly_trade_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,8 @@ MONTHLY_TRADE_VOLUME = "SELECT strftime(l_shipdate, '%Y-%m') AS ym, count(*) AS
 
 
 def queries() -> dict:
-    return {"monthly_trade_volume": monthly_trade_volume}
+    return {"monthly_trade_volume": monthly_trade_volume, **market.QUERIES, **series.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"monthly_trade_volume": MONTHLY_TRADE_VOLUME}
+    return {"monthly_trade_volume": MONTHLY_TRADE_VOLUME, **market.SQL, **series.SQL}
