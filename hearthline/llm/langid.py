@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 MARK = "▁"  # the vocabulary's word start
 WORD = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 300_000
+PART = 1 << 16  # letters of a text that are looked at together
 UNKNOWN = 1e-8  # of a letter that is no piece
 
 
@@ -153,6 +154,16 @@ def forward(s: str, model: Model) -> list[float]:
     return [math.log(max(x, 1e-300)) + scale * math.log(10.0) for x in ahead[-1]]
 
 
+def parts(text: str) -> Iterator[str]:
+    """The whole text in parts of about PART letters, cut at blanks, which no word spans."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= PART else text.rfind(" ", at, at + PART) + 1
+        end = end if end > at else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _predict(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
@@ -160,15 +171,19 @@ def _predict(shared, text_at: int):
         for batch in batches:
             names, values = [], []
             for text in batch.column(text_at):
-                words = WORD.findall((text.as_py() or "").lower())
-                if not model.languages or not any(c.isalpha() for w in words for c in w):
+                total, seen = np.zeros(len(model.languages)), False
+                for part in parts(text.as_py() or ""):
+                    words = WORD.findall(part.lower())
+                    if len(scores) > CACHED_WORDS:
+                        scores = _Scores(model)
+                    if words and model.languages:
+                        at = [scores[w] for w in words]  # may lengthen rows
+                        total += scores.rows[at].sum(0)
+                        seen = seen or any(c.isalpha() for w in words for c in w)
+                if not seen:
                     names.append("und")
                     values.append(0.0)
                     continue
-                if len(scores) > CACHED_WORDS:
-                    scores = _Scores(model)
-                at = [scores[w] for w in words]
-                total = scores.rows[at].sum(0)
                 best = int(total.argmax())
                 names.append(model.languages[best])
                 values.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()))

@@ -1,0 +1,286 @@
+"""The ten operators against SQL, brute force, round trips and held-out accuracy."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from hearthline.llm import decontaminate, html_extract, langid, ngram_join, packing, pii, queries, secret_scan, substring_dedup, topk_search, toxicity
+
+DATA = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return pd.read_parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_rows_are_those_of_the_sql(name, same):
+    same(queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_language_is_right_on_held_out_documents(spark, docs):
+    got = queries.op1_language_id(spark, DATA).toPandas().merge(docs, on="doc_id")
+    assert len(got) == len(docs)
+    held = got.doc_id.map(lambda x: zlib.crc32(str(x).encode()) % 3 == 1)
+    assert (held == got.held_out).all() and got.score.between(0, 1).all()
+    known = got[held & got.lang.notna() & (got.lang_pred != "und")]
+    assert (known.lang_pred == known.lang).mean() >= 0.95
+
+
+def test_forward_sums_all_segmentations():
+    model = langid.Model(["a"], {"▁": (0.5,), "x": (0.25,), "▁x": (0.125,), "xx": (0.1,)}, 2)
+    # ▁ x x, ▁x x, ▁ xx
+    assert np.exp(langid.forward("▁xx", model)[0]) == pytest.approx(0.5 * 0.25 * 0.25 + 0.125 * 0.25 + 0.5 * 0.1)
+
+
+def test_parts_are_the_whole_text():
+    text = "ab " * 50_000 + "c" * 200_000 + " d"
+    assert "".join(langid.parts(text)) == text and len(list(langid.parts(text))) > 1
+
+
+def test_top_k_ties_and_bad_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 1.0]), (4, None), (5, [0.5, None]), (6, [-1.0, 0.0]), (50, [2.0, 0.0])]
+    v = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<float>, score string")
+    got = topk_search.top_k(v, v.vec_id % 50 == 0).where("query_id = 0").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(50, 512 * 256), (1, 65536), (2, 65536), (6, -65536)]
+
+
+def _brute_leaks(docs, items):
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    out = set()
+    kept = [(i, words(t), bag(words(t))) for i, t in items if words(t)]
+    at = defaultdict(set)
+    for i, w, _ in kept:
+        for k in range(len(w) - 4):
+            at[tuple(w[k : k + 5])].add((i, k))
+    by = {i: (w, b) for i, w, b in kept}
+    for d, t in docs:
+        w = words(t)
+        tried = {(i, p - k) for p in range(len(w) - 4) for i, k in at.get(tuple(w[p : p + 5]), ())}
+        for i, start in tried:
+            n = len(by[i][0])
+            if 0 <= start and start + n <= len(w):
+                b = bag(w[start : start + n])
+                common = sum((b & by[i][1]).values())
+                if common / (sum(b.values()) + sum(by[i][1].values()) - common) >= 0.8:
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_finds_what_brute_force_finds(spark, docs):
+    items = pd.read_parquet(f"{DATA}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, DATA).collect()}
+    assert got == _brute_leaks(docs[["doc_id", "text"]].values.tolist(), items[["item_id", "text"]].values.tolist()) and got
+
+
+def test_edited_item_is_found_and_half_an_item_is_not(spark):
+    item = [f"w{k}" for k in range(60)]
+    edited = item[:30] + ["other"] + item[31:]
+    rows = [(1, "a b c " + " ".join(edited) + " d"), (2, " ".join(item[:30])), (3, None), (4, ""), (None, " ".join(item))]
+    d = spark.createDataFrame([(a, b, None, None, None) for a, b in rows], DOC)
+    b = spark.createDataFrame([(7, " ".join(item)), (8, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(1, 7), (None, 7)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(d, b).collect()) == [2, 3, 4]
+
+
+def test_simhash_blocks_lose_none_within_the_radius(spark):
+    rng = np.random.default_rng(1)
+    a = rng.integers(-(1 << 63), 1 << 63, 40)
+    b = [int(x) ^ sum(1 << int(k) for k in rng.choice(63, 20, replace=False)) for x in a]
+    f = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(a, b, strict=True))], "k long, a long, b long")
+    x, y = f.select("k", decontaminate.blocks(f.a, 20).alias("l"), decontaminate.blocks(f.b, 20).alias("r")).selectExpr("k", "size(array_intersect(l, r)) AS n").toPandas().values.T
+    assert (y > 0).all()
+
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(s):
+    x = [int(c) for c in reversed(s)]
+    return (sum(x[::2]) + sum(sum(divmod(2 * c, 10)) for c in x[1::2])) % 10 == 0
+
+
+def _base_pii(text):
+    out = []
+    for kind, pattern in KINDS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and _luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def _check_pii(rows, texts):
+    for r in rows:
+        want = _base_pii(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(x.startswith(k) for x in want) for k in KINDS], r
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (r, want)
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+
+
+def test_personal_data_of_the_base_rules(spark, docs):
+    texts = dict(docs[["doc_id", "text"]].values.tolist())
+    rows = queries.op8_pii(spark, DATA).collect()
+    assert len(rows) == len(docs)
+    _check_pii(rows, texts)
+
+
+def test_personal_data_in_odd_texts(spark):
+    odd = [None, "", "a@b.c@d.e.f x@y z@-.- .@a.b", "a@b..c a.b.@c.d.", "1.2.3.4.5.6.7.8.9 256.1.1.1 0001.2.3.004", "4111 1111-1111 1111 4111111111111111 4111  1111", "+1 (555) 010-9999. +12 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6",
+           "é😀 a@b.co 😀1.1.1.1", "99999999999.1.1.1", "a\x01b@c.d\x01e.f", "a" * 3000 + "@" + "b." * 500 + "c"]
+    rows = spark.createDataFrame([(k, t, "s") for k, t in enumerate(odd)], "doc_id long, text string, spans string")
+    _check_pii(pii.digest(pii.find_pii(rows)).collect(), dict(enumerate(odd)))
+
+
+def test_ledger_scans_only_unseen_blobs(spark):
+    old = spark.createDataFrame([(1, "token = abcdefghijkl1"), (2, "nothing")], "doc_id long, text string")
+    _, ledger = secret_scan.update_ledger(old)
+    new = spark.createDataFrame([(1, "token = abcdefghijkl1"), (3, "AKIA" + "A" * 16), (4, None)], "doc_id long, text string")
+    paths, both = secret_scan.update_ledger(new, ledger)
+    assert paths.count() == 3 and both.count() == 4
+    found = {r["doc_id"]: [x["kind"] for x in r["findings"]] for r in secret_scan.find_secrets(new, ledger).collect()}
+    assert found == {1: ["assign"], 3: ["access"], 4: []}
+
+
+def test_redaction(spark):
+    d = spark.createDataFrame([(1, "x password: abcdefghijklmno y", 3), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, _x int")
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(d).collect()} == {1: "x [SECRET] y", 2: None, 3: "clean"}
+
+
+def test_main_text_of_pages(spark):
+    page = lambda k: f"<html><head><title>t</title><script>x</script></head><body><nav><a>Home</a></nav><div class='ad'>Buy {k}</div><article><h1>Head &amp; {k}</h1><p>Own\n text  {k}</p><p>Same line</p></article><div class='comments'><p>c{k}</p></div><footer>f</footer></body></html>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)] + [(20, None, None), (21, "http://o.example", ""), (22, "http://h.example/z", page(3))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[20] == got[21] == ""
+    assert got[3] == got[22]
+    assert got[5].split("\n")[:2] == ["Head & 5", "Own text 5"]
+    assert "Buy" not in got[5] and "Home" not in got[5] and "c5" not in got[5]
+
+
+def test_packing_is_an_exact_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    got = queries.op7_packing(spark, DATA).toPandas()
+    for doc, part in got.groupby("doc_id"):
+        text = docs.loc[docs.doc_id == doc, "text"].iloc[0]
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (part.doc_tokens == len(ids)).all()
+        at = 0
+        for r in part.sort_values("start").itertuples():
+            assert r.start == at and zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    for _, sequence in got.groupby("sequence_id"):
+        at = 0
+        for r in sequence.sort_values("offset").itertuples():
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert set(got.doc_id) == set(docs.doc_id)
+
+
+def test_patterns_place_every_piece():
+    counts = {4096: 3, 3000: 5, 1096: 2, 500: 9, 1: 7}
+    placed = Counter()
+    for lengths, n in packing.patterns(counts, 4096):
+        assert sum(lengths) <= 4096
+        for x in lengths:
+            placed[x] += n
+    assert placed == counts
+
+
+def test_toxic_documents_are_flagged_and_clean_ones_are_not(spark):
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    got = queries.op9_toxicity(spark, "/root/testdata/sf0.01").toPandas().merge(labels, on="doc_id", suffixes=("_p", ""))
+    flagged = got[got.toxic_p]
+    assert (flagged.toxic == 1).mean() >= 0.95 and (got[got.toxic == 1].toxic_p).mean() >= 0.5
+
+
+def _brute_components(rows):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {("short", *w)} if w else set()
+    comp = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return {d: (len(sets[d]), comp[d]) for d in sets}
+
+
+def test_join_of_chains_copies_and_short_texts(spark):
+    rng = np.random.default_rng(5)
+    rows, text = [], [f"w{k}" for k in range(120)]
+    for k in range(60):  # a chain: each differs from the one before in one word
+        text = list(text)
+        text[int(rng.integers(120))] = f"x{k}"
+        rows.append((100 + k, " ".join(text)))
+    rows += [(1, "A b"), (2, "a B"), (3, ""), (4, None), (5, "a b c"), (6, rows[10][1].upper()), (7, " ".join(f"z{k}" for k in range(30)))]
+    d = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, n int, comp int")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(d).collect()}
+    assert got == _brute_components(rows)
+    kept = {r["doc_id"] for r in ngram_join.keep_one(d).collect()}
+    assert kept == {k for k, (_, c) in got.items() if k == c}
+
+
+def test_histograms_bound_overlaps():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 400, int(rng.integers(1, 120))))
+        b = np.unique(np.concatenate([a[: int(rng.integers(1, len(a) + 1))], rng.integers(0, 400, 3)]))
+        alike = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        assert not alike or ngram_join.possible(ngram_join.histogram(a), ngram_join.histogram(b), 80)
+
+
+def test_substrings_of_repeated_rows_and_nulls(spark):
+    run = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, run), (2, "a " + run + " b"), (2, "a " + run + " b"), (3, None), (4, ""), (None, run)]
+    d = spark.createDataFrame([(a, b, "p") for a, b in rows], "doc_id long, text string, places string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.dedup_substrings(d.drop("places")).collect())
+    assert got == [(0, 20, 0, run), (1, 20, 0, run), (2, 22, 20, "a b"), (2, 22, 20, "a b"), (3, 0, 0, ""), (4, 0, 0, "")]
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], DOC)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert langid.identify(docs, langid.train(docs)).count() == 0
+    assert topk_search.top_k(vectors, vectors.vec_id % 50 == 0).count() == 0
+    assert decontaminate.contaminated(docs, bench).count() == 0
+    assert substring_dedup.dedup_substrings(docs).count() == 0
+    assert secret_scan.find_secrets(docs).count() == 0
+    assert html_extract.extract(pages).count() == 0
+    assert packing.pack(docs).count() == 0
+    assert pii.find_pii(docs).count() == 0
+    assert toxicity.classify(docs, toxicity.train(docs, labels)).count() == 0
+    assert ngram_join.linked(docs).count() == 0
+
+
+def test_null_rows_and_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, 0), (1, "12 34", None, None, 5)], DOC)
+    got = langid.identify(docs, langid.train(docs)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 3
+    labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")
+    assert {r["toxic"] for r in toxicity.classify(docs, toxicity.train(docs, labels)).collect()} == {False}
+    assert packing.pack(docs).count() == 3
+    assert pii.find_pii(docs).count() == 3
+    assert ngram_join.linked(docs).count() == 3
