@@ -118,7 +118,7 @@ def fair_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = F.when(F.col("stage") == "type", F.col("own")).otherwise(F.col("all"))
     n = F.when(F.col("stage") == "type", F.col("own_n")).otherwise(F.col("all_n"))
     out = both.where("stage is not null").select("complex_id", "area_key", "stage", n.alias("n"), (F.col("area") / 3.305785).alias("pyeong"), use.alias("q"))
-    at = lambda k: F.round(F.col("q")[k] * F.col("pyeong"), 2)
+    at = lambda k: F.round(F.col("q")[k] * F.col("pyeong"), 4)
     confidence = F.when(F.col("stage") == "complex", "low").when(F.col("n") >= 10, "high").when(F.col("n") >= 5, "medium").otherwise("low")
     return out.select("complex_id", "area_key", "stage", "n", at(1).alias("fair"), at(0).alias("fair_low"), at(2).alias("fair_high"), confidence.alias("confidence"))
 
@@ -134,7 +134,7 @@ own AS (SELECT complex_id, area_key, count(*) AS own_n, quantile_cont(adj, [0.25
 whole AS (SELECT complex_id, count(*) AS all_n, quantile_cont(adj, [0.25, 0.5, 0.75]) AS whole FROM a GROUP BY 1),
 j AS (SELECT complex_id, area_key, CASE WHEN own_n >= 3 THEN 'type' WHEN all_n >= 3 THEN 'complex' END AS stage, CASE WHEN own_n >= 3 THEN own_n ELSE all_n END AS n,
   area / 3.305785 AS p, CASE WHEN own_n >= 3 THEN own ELSE whole END AS q FROM own JOIN whole USING (complex_id))
-SELECT complex_id, area_key, stage, n, round(q[2] * p, 2) AS fair, round(q[1] * p, 2) AS fair_low, round(q[3] * p, 2) AS fair_high,
+SELECT complex_id, area_key, stage, n, round(q[2] * p, 4) AS fair, round(q[1] * p, 4) AS fair_low, round(q[3] * p, 4) AS fair_high,
   CASE WHEN stage = 'complex' THEN 'low' WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM j WHERE stage IS NOT NULL"""
 
 

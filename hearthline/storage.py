@@ -45,15 +45,19 @@ def forget(df: DataFrame | None) -> None:
 
 
 _shipped: set[str] = set()
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that functions that
-    tasks run can be imported there wherever the driver was started."""
+    tasks run can be imported there wherever the driver was started. Batches to Python tasks
+    are kept small in rows and bytes, as a row may be a very long text."""
     import os
     import tempfile
     import zipfile
 
+    for key, most in BATCHES.items():
+        spark.conf.set(key, most)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
