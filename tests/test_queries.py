@@ -1,17 +1,45 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import scalars
-from hearthline.plans import catalogue, market
+from hearthline.plans import bars, catalogue, market
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_rows_are_those_of_the_sql(name, same):
     same(catalogue.queries()[name], catalogue.oracle_sql()[name])
 
 
+def test_folds_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    close = (100 + rng.normal(size=80).cumsum()).tolist()
+    got = bars.fold_indicators(pd.DataFrame({"symbol": "x", "day": [f"{k:03}" for k in range(80)], "close": close}))
+
+    def ema(x, n):
+        out, last = [], None
+        for v in x:
+            last = v if last is None else last if v is None else last + 2 / (n + 1) * (v - last)
+            out.append(last if v is not None else None)
+        return out
+
+    macd = [a - b if k >= 25 else None for k, (a, b) in enumerate(zip(ema(close, 12), ema(close, 26), strict=True))]
+    signal = ema(macd, 9)
+    assert got["macd"].iloc[24] is None and got["macd"].iloc[40] == pytest.approx(macd[40], abs=1e-5)
+    assert got["signal"].iloc[60] == pytest.approx(signal[60], abs=1e-5)
+    assert got["rsi"].iloc[13] is None and 0 <= got["rsi"].iloc[14] <= 100
+    rising = bars.fold_indicators(pd.DataFrame({"symbol": "x", "day": [f"{k:03}" for k in range(20)], "close": [float(k) for k in range(20)]}))
+    assert rising["rsi"].iloc[19] == 100.0
+
+
+def test_folded_query(spark):
+    rows = bars.folded_indicators(spark, "/root/testdata/sf0.001")
+    assert rows.count() == bars.daily_bars(spark, "/root/testdata/sf0.001").count()
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
