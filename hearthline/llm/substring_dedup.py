@@ -5,7 +5,9 @@ smallest hash. Equal windows have equal anchors, so a window can repeat only if
 does, and there are about ``2 / (size - anchor + 2)`` anchors for each window. Pass one counts
 anchors in partition sketches, which are merged; the merged sketch overestimates the count of a
 window. Pass two keeps only the windows that it estimates as repeated, and groups those exactly
-by 96 bits of hash. A window that repeats is never lost, whatever the sketch's size.
+by 96 bits of hash: they are shuffled once and sorted by hash and document, and the first
+document of a hash is read off in passing. A window that repeats is never lost, whatever the
+sketch's size.
 
 The sketch grows with the input up to ``max_sketch_bytes`` (it is broadcast); beyond that it
 lets more windows through, and the second pass has more to group, with the same result.
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from hearthline.llm import hashing
-from hearthline.storage import written
 
 PAGE = 1 << 16  # cells of the sketch that are merged together
 ROWS = 2  # hash rows of the sketch
+HELD = 2_000_000  # windows that a task compares before it passes them on
+RUN = 1 << 31  # above the number of windows of a text
 
 
 def _anchors(w: hashing.Words, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,10 +108,36 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(sketch, width: int, size: int, anchor: int):
+    """Windows that the sketch estimates as repeated. Of equal windows that this task holds at
+    once only the first document's go on to the grouping; the others are settled here, and leave
+    as runs of adjacent windows with g = -1. So a window that is everywhere moves once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def flush():
+            h, g, doc, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, g, h))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            least = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+            settled = np.zeros(len(h), bool)
+            settled[order] = doc[order] > least
+            open_ = ~settled
+            yield from _windows(h[open_], g[open_], doc[open_], tag[open_], pos[open_], np.ones(int(open_.sum()), np.int64))
+            doc, tag, pos = doc[settled], tag[settled], pos[settled]  # in the order of the texts
+            starts = np.ones(len(doc), bool)
+            starts[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1] + 1)
+            at = np.flatnonzero(starts)
+            if len(at):
+                length = np.diff(np.append(at, len(doc)))
+                spread = hashing.mix(doc[at].view(np.uint64)).view(np.int64)
+                yield from _windows(spread, np.full(len(at), -1, np.int64), doc[at], tag[at], pos[at], length)
+
         for batch in batches:
-            ids, tags = batch.column(1), batch.column(2)
+            ids, tags = (np.asarray(batch.column(k)) for k in (1, 2))
             for offset, part in hashing.slices(batch.column(0)):
                 w = hashing.words(part)
                 at, place, grams = _anchors(w, size, anchor)
@@ -118,24 +147,49 @@ def _repeated(sketch, width: int, size: int, anchor: int):
                     keep &= (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
                 at = at[keep]
                 if len(at):
-                    doc = pa.array(w.text[at] + offset)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(hashing.runs(w.hashes, size)[at].view(np.int64)),
-                            pa.array((hashing.runs(w.hashes, size, 1)[at] >> np.uint64(32)).astype(np.int64)),
-                            ids.take(doc),
-                            tags.take(doc),
-                            pa.array((at - w.first[w.text[at]]).astype(np.int64)),
-                        ],
-                        names=["h", "g", "doc_id", "tag", "pos"],
-                    )
+                    doc = w.text[at] + offset
+                    held.append((
+                        hashing.runs(w.hashes, size)[at].view(np.int64),
+                        (hashing.runs(w.hashes, size, 1)[at] >> np.uint64(32)).astype(np.int64),
+                        ids[doc], tags[doc], (at - w.first[w.text[at]]).astype(np.int64),
+                    ))
+                    n += len(at)
+                if n > HELD:
+                    yield from flush()
+                    held, n = [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
+def _windows(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 17)]) for x in columns], names=["h", "g", "doc_id", "tag", "pos", "n"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by hash and document, those of other documents than the first with
+    that hash; runs that were settled before pass. Only the last group's key is kept."""
+    last: tuple[int, int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, g, doc = (np.asarray(batch.column(k)) for k in range(3))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        least = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if last and (int(h[0]), int(g[0])) == last[:2]:
+            head = np.cumsum(new) == 1
+            least[head] = last[2]
+        last = int(h[-1]), int(g[-1]), int(least[-1])
+        keep = pa.array((g < 0) | (doc > least))
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2, 6)], names=["doc_id", "tag", "pos", "n"])
+
+
 def repeated_windows(docs: DataFrame, size: int = 13, anchor: int = 8, max_sketch_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, tag (crc32 of the text), pos: the windows (by their first word) whose words
-    also start in a document with a smaller doc_id."""
+    """doc_id, tag (crc32 of the text), pos, n: runs of n adjacent windows (pos: the first word
+    of the first) whose words also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
     anchor = min(anchor, size)
     texts = docs.select("text", "doc_id", F.crc32("text").alias("tag")).where("text is not null and doc_id is not null")
@@ -152,13 +206,9 @@ def repeated_windows(docs: DataFrame, size: int = 13, anchor: int = 8, max_sketc
     for page in pages.toLocalIterator():  # at most max_sketch_bytes in all
         bits[page["page"] * (PAGE // 8) : (page["page"] + 1) * (PAGE // 8)] = np.frombuffer(page["bits"], np.uint8)
     sketch = spark.sparkContext.broadcast(bits)
-    found = written(
-        texts.mapInArrow(_repeated(sketch, width, size, anchor), "h long, g long, doc_id long, tag long, pos long"),
-        "windows",
-    )
-    firsts = found.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    firsts = firsts.where("last_doc > first_doc").drop("last_doc")
-    return found.join(firsts, ["h", "g"]).where("doc_id > first_doc").select("doc_id", "tag", "pos")
+    found = texts.mapInArrow(_repeated(sketch, width, size, anchor), "h long, g long, doc_id long, tag long, pos long, n long")
+    sorted_ = found.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id")
+    return sorted_.mapInArrow(_later, "doc_id long, tag long, pos long, n long")
 
 
 def _cut(size: int, width: int):
@@ -171,9 +221,10 @@ def _cut(size: int, width: int):
                 total.append(len(found))
                 if places[k].is_valid:
                     gone = np.zeros(len(found) + 1, np.int64)
-                    for start in np.unique(np.asarray(places.slice(k, 1).flatten())):
-                        gone[start : start + size] = 1
-                    gone = gone[:-1].astype(bool)
+                    start, n = np.divmod(np.asarray(places.slice(k, 1).flatten()), RUN)
+                    np.add.at(gone, start, 1)
+                    np.add.at(gone, start + n + size - 1, -1)
+                    gone = np.cumsum(gone)[:-1] > 0
                     removed.append(int(gone.sum()))
                     found = [x for x, y in zip(found, gone, strict=True) if not y]
                 else:
@@ -193,7 +244,8 @@ def dedup_substrings(docs: DataFrame, size: int = 13, **sketch) -> DataFrame:
     `size` words that also starts in a document with a smaller doc_id is removed."""
     clash = [c for c in docs.columns if c in ("n_words", "n_removed", "kept_text", "places", "tag")]
     docs = docs.drop(*clash)
-    places = repeated_windows(docs, size, **sketch).groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("places"))
+    runs = repeated_windows(docs, size, **sketch).select("doc_id", "tag", (F.col("pos") * RUN + F.col("n")).alias("run"))
+    places = runs.groupBy("doc_id", "tag").agg(F.collect_list("run").alias("places"))
     keyed = docs.withColumn("tag", F.crc32("text"))
     joined = keyed.join(places.hint("shuffle_hash"), ["doc_id", "tag"], "left").select(*docs.columns, "places")
     schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
