@@ -2,9 +2,10 @@
 an exact check. DataFrame functions only.
 
 Words are runs of letters and digits, in lower case. A window of a document is as long as some
-benchmark item and is laid so that a shingle (five words; all words of a shorter item) shared
-with an item of that length sits where the item has it; a window without a shared shingle cannot
-be similar. Windows and items get 64-bit SimHashes of their words. Fingerprints are cut into
+benchmark item; a document shorter than the item is one window. Windows are laid by a join on
+shared shingles (five words; all words of a shorter item): at every start, also at the edges, from
+which a window holds as many places of an item's shingles as the threshold asks for. A window with
+fewer cannot be similar. Windows and items get 64-bit SimHashes of their words. Fingerprints are cut into
 ``radius + 1`` blocks; two within the radius agree in one block at least, so a join by length,
 block and value finds all of them. For these the similarity of the two bags of shingles,
 sum of least counts over sum of greatest counts, decides.
@@ -80,22 +81,37 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, start, n, words: the distinct windows laid by a shared shingle.
+def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, start, n, words: the distinct windows that hold enough shingles of one item of n
+    words to be similar to it. A document shorter than the item is one window.
 
     items: item_id, words, n."""
-    laid = None
+    text = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words"))
+    hits = None
     for size in [r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect()]:  # 5, or 1 to 4 for short items
         own = items.where(F.least("n", F.lit(SHINGLE)) == size)
-        marks = own.select("n", F.posexplode(shingles(F.col("words"), size)).alias("at", "h")).distinct()
-        text = docs.select("doc_id", words(F.col("text")).alias("words"))
-        found = text.select("doc_id", "words", F.size("words").alias("total"), F.posexplode(shingles(F.col("words"), size)).alias("pos", "h"))
-        found = found.join(_bounded(written(marks, "marks")), "h").where("pos >= at and pos - at + n <= total")
-        found = found.select("doc_id", (F.col("pos") - F.col("at")).alias("start"), "n", F.expr("slice(words, pos - at + 1, n)").alias("words"))
-        laid = found if laid is None else laid.union(found)
-    if laid is None:
+        marks = own.select("item_id", "n", F.explode(shingles(F.col("words"), size)).alias("h")).distinct()
+        found = text.select("doc_id", "key", F.size("words").alias("total"), F.posexplode(shingles(F.col("words"), size)).alias("pos", "h"))
+        found = found.join(_bounded(written(marks, "marks")), "h").select("doc_id", "key", "total", "item_id", "n", "pos", F.lit(size).alias("size"))
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
         return docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), words(F.col("text")).alias("words")).where("false")
-    return laid.distinct()
+    # the key keeps rows that repeat a doc_id apart
+    hits = hits.groupBy("doc_id", "key", "total", "item_id", "n", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    held = hits.withColumn("span", F.expr("least(n, total) - size + 1"))  # shingles of a window
+    # of two bags of a and b shingles that share c, c / (a + b - c) >= threshold
+    held = held.withColumn("need", F.ceil(F.lit(threshold) * (F.col("n") - F.col("size") + 1 + F.col("span")) / (1 + threshold) - 1e-9).cast("int"))
+    held = held.withColumn("need", F.greatest("need", F.lit(1))).where("size(at) >= need")
+    # windows that hold the need shared places from at[i] on start from at[i + need - 1] - span + 1 to at[i]
+    runs = F.expr("filter(transform(slice(at, 1, size(at) - need + 1), (x, i) -> struct(greatest(at[i + need - 1] - span + 1, 0) AS low, least(x, greatest(total - n, 0)) AS high)), r -> r.low <= r.high)")
+    starts = held.select("doc_id", "key", "n", F.explode(runs).alias("r")).select("doc_id", "key", "n", F.explode(F.sequence("r.low", "r.high")).alias("start"))
+    starts = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "start")).alias("laid"))
+    starts = written(starts, "starts").withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
+    few = (starts.agg(F.sum(F.size("laid"))).first()[0] or 0) <= BROADCAST_ROWS
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    laid = keyed.join(F.broadcast(starts) if few else starts, F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    laid = laid.select("doc_id", words(F.col("text")).alias("words"), "laid").select("doc_id", "words", F.explode("laid").alias("w"))
+    return laid.select("doc_id", "w.start", "w.n", F.expr("slice(words, w.start + 1, w.n)").alias("words")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -103,11 +119,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     holds, the most similar window (the first of several)."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     items = written(items.withColumn("fp", simhash(F.col("words"))).withColumn("bag", bag(F.col("words"))), "items")
-    laid = written(windows(docs, items), "laid")
-    laid = laid.withColumn("fp", simhash(F.col("words"))).withColumn("bag", bag(F.col("words"))).drop("words")
+    laid = written(windows(docs, items, threshold), "laid")
+    laid = laid.withColumn("fp", simhash(F.col("words"))).withColumn("bag", bag(F.col("words"))).withColumn("held", F.size("words")).drop("words")
     keys = items.select("item_id", F.col("n"), F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "n", "item_fp", "item_bag", "b.*")
     keys = _bounded(written(keys, "keys"))
-    near = laid.select("doc_id", "start", "n", "fp", "bag", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("doc_id", "start", "n", "fp", "bag", "b.*")
+    near = laid.select("doc_id", "start", "n", "held", "fp", "bag", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("doc_id", "start", "n", "held", "fp", "bag", "b.*")
     pairs = near.join(keys, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # a pair can agree in several blocks; it is compared in the first of them
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
@@ -115,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for k, cut in reversed(list(enumerate(_masks(radius)))):
         first = F.when(apart.bitwiseAND(F.lit(cut)) == 0, F.lit(k)).otherwise(first)
     pairs = pairs.where(F.col("block") == first)
-    scored = pairs.select("doc_id", "item_id", "start", "n", similarity(F.col("bag"), F.col("item_bag")).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = pairs.select("doc_id", "item_id", "start", F.col("held").alias("n"), similarity(F.col("bag"), F.col("item_bag")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), "n")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.at")).cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_words"))
 

@@ -92,6 +92,44 @@ def test_edited_item_is_found_and_half_an_item_is_not(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(d, b).collect()) == [2, 3, 4]
 
 
+def _slide(docs, items, threshold=0.8):
+    """(doc, item): (similarity, first start, words) over every start."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    out = {}
+    for i, b in ((i, words(t)) for i, t in items):
+        for d, w in ((d, words(t)) for d, t in docs):
+            if not b or not set(bag(b)) & set(bag(w)) and len(b) >= 5:
+                continue
+            for start in range(max(len(w) - len(b), 0) + 1):
+                part = w[start : start + len(b)]
+                common = sum((bag(part) & bag(b)).values())
+                alike = common / (sum(bag(part).values()) + sum(bag(b).values()) - common)
+                if part and alike >= threshold and alike > out.get((d, i), (0,))[0]:
+                    out[d, i] = (alike, start, len(part))
+    return out
+
+
+def test_items_cut_at_an_edge_are_found_from_every_start(spark):
+    item = [f"w{k}" for k in range(40)]
+    long = [f"v{k}" for k in range(100)]
+    short = ["one", "two", "three"]
+    pad = [f"p{k}" for k in range(50)]
+    texts = [pad + item[:39], item[1:] + pad, item[:39], item[1:], item[:38], pad + item[1:39] + pad, item[2:39] + ["x"], pad + long[1:50] + ["x", "y"] + long[50:99] + pad, pad + short, short[:2], item * 3]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(3, "nothing"), (None, " ".join(pad + item[:39]))]
+    items = [(1, " ".join(item)), (2, " ".join(long)), (3, " ".join(short))]
+    d = spark.createDataFrame([(a, b, None, None, None) for a, b in rows], DOC)
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["start_word"], r["n_words"]) for r in decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = _slide(rows, items)
+    assert got == want and {(0, 1), (1, 1), (2, 1), (3, 1), (7, 2), (None, 1)} <= set(want)
+
+
+def test_decontamination_finds_what_sliding_over_every_start_finds(spark, docs):
+    items = pd.read_parquet(f"{DATA}/benchmark.parquet")[["item_id", "text"]].values.tolist()
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["start_word"], r["n_words"]) for r in queries.op3_decontaminate(spark, DATA).collect()}
+    assert got == _slide(docs[["doc_id", "text"]].values.tolist(), items) and got
+
+
 def test_simhash_blocks_lose_none_within_the_radius(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(-(1 << 63), 1 << 63, 40)
