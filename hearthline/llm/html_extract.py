@@ -33,7 +33,7 @@ BROADCAST_HOSTS = 500_000
 DEEPEST = 150  # elements nested deeper are taken as flat
 PAGES_PER_HOST = 6  # pages that a wrapper's tree is made of; its texts are counted over all pages
 CONSTANT_SHARE = 0.6  # of a host's pages with a node, the share with one text that makes it template
-CONSTANT_PAGES = 8  # different pages that must hold it
+CONSTANT_PAGES = 2  # different pages that must hold it
 WRAPPER_BYTES = 32 << 20  # of all wrappers together to be broadcast; beyond that they are joined by host
 
 #: Fixed element names.
@@ -278,7 +278,7 @@ def _count_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             body = _fingerprint("\n".join(sorted(text for _, text in found)))
             rows += [(host, _fingerprint(slot), _key(slot, text), body) for slot, text in found]
             rows += [(host, _fingerprint(slot), None, body) for slot in {slot for slot, _ in found}]
-        frame = pd.DataFrame(rows, columns=["host", "slot", "text", "body"])
+        frame = pd.DataFrame(rows, columns=["host", "slot", "text", "body"], dtype=object)  # or numbers beside nulls become floats
         yield frame.astype({"text": "Int64", "slot": "int64", "body": "int64"})
 
 

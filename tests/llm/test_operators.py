@@ -210,6 +210,15 @@ def test_main_text_of_pages(spark):
     assert "Buy" not in got[5] and "Home" not in got[5] and "c5" not in got[5]
 
 
+def test_constant_text_goes_from_hosts_of_few_pages(spark):
+    page = lambda k: f"<body><div class='x'>Shop open daily</div><article><p>Own text {k}</p></article><div class='y'>Made with care</div><div class='z'>Extra {k}</div></body>"
+    flat = lambda k: f"<body><div class='x'>Shop open daily</div><p>Own text {k}</p></body>"
+    rows = [(k, f"http://two.example/{k}", flat(k)) for k in range(2)] + [(10 + k, f"http://three.example/{k}", page(k)) for k in range(3)] + [(20, "http://one.example/", flat(0)), (21, "http://one.example/copy", flat(0))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[0], got[1], got[10], got[12]] == ["Own text 0", "Own text 1", "Own text 0", "Own text 2"]
+    assert got[20] == got[21] == "Shop open daily\nOwn text 0"  # copies tell nothing
+
+
 def test_packing_is_an_exact_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
