@@ -1,7 +1,7 @@
 """Main text of pages by wrapper induction.
 
-Pages of one host share a wrapper. A bounded number of pages of each host are parsed and their
-trees aligned by simple tree matching (the largest set of node pairs that keeps order and
+Pages of one host share a wrapper. All pages are parsed and the different layouts of each host
+aligned, in parts and then the parts, by simple tree matching (the largest set of node pairs that keeps order and
 parents); aligned nodes become nodes of the wrapper. Then every page is aligned with its host's
 wrapper and each node's text is counted over all pages of the host: a node whose text is
 constant is template, one whose text varies is a content slot. A page's text is that of its
@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from hearthline.storage import written
 
-BROADCAST_HOSTS = 500_000
 DEEPEST = 150  # elements nested deeper are taken as flat
-PAGES_PER_HOST = 6  # pages that a wrapper's tree is made of; its texts are counted over all pages
+SALTS = 64  # parts of a host's layouts that are merged apart
 CONSTANT_SHARE = 0.6  # of a host's pages with a node, the share with one text that makes it template
 CONSTANT_PAGES = 2  # different pages that must hold it
 WRAPPER_BYTES = 32 << 20  # of all wrappers together to be broadcast; beyond that they are joined by host
@@ -213,13 +212,32 @@ def _fingerprint(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _trees(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-    """A host's wrapper tree, from its bounded number of pages."""
-    tree = None
-    for html in pages.sort_values("place")["html"]:
-        own = skeleton(parse(html))
-        tree = own if tree is None else merge(tree, own)
-    return pd.DataFrame({"host": [key[0]], "tree": [json.dumps(tree)]})
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The skeletons of pages, each once for a batch and host."""
+    for batch in batches:
+        rows = {(host, json.dumps(skeleton(parse(html)))): None for host, html in zip(batch["host"], batch["html"], strict=True)}
+        yield pd.DataFrame(list(rows), columns=["host", "tree"], dtype=object)
+
+
+def _merge_runs(by: list[str]):
+    """Merges the trees of rows in a row that agree in the columns `by`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tree, salt = None, None, 0
+        for batch in batches:
+            out = []
+            for own, at, text in zip(batch[by].itertuples(index=False, name=None), batch["salt"], batch["tree"], strict=True):
+                if own == key:
+                    tree = merge(tree, json.loads(text))
+                    continue
+                if key is not None:
+                    out.append((key[0], salt, json.dumps(tree)))
+                key, tree, salt = own, json.loads(text), at
+            yield pd.DataFrame(out, columns=["host", "salt", "tree"]).astype({"salt": "int32"})
+        if key is not None:
+            yield pd.DataFrame([(key[0], salt, json.dumps(tree))], columns=["host", "salt", "tree"]).astype({"salt": "int32"})
+
+    return run
 
 
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -232,14 +250,11 @@ def with_host(pages: DataFrame) -> DataFrame:
 def induce(pages: DataFrame) -> DataFrame:
     """host, tree (JSON), template (fingerprints of slot and text): the wrappers of all hosts."""
     hosted = with_host(pages).select("host", F.coalesce("html", F.lit("")).alias("html"))
-    # a small sample for each host: the pages with the smallest hashes, merged before they move
-    most = written(hosted.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    few = most.count() <= BROADCAST_HOSTS
-    near = hosted.join(F.broadcast(most) if few else most, "host").where(f"n <= {PAGES_PER_HOST} or pmod(xxhash64(html), n) < {4 * PAGES_PER_HOST}")
-    chosen = near.select("host", "html", F.xxhash64("html").alias("place")).dropDuplicates(["host", "place"])
-    chosen = chosen.groupBy("host").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "html"))), 1, PAGES_PER_HOST).alias("some"))
-    chosen = chosen.select("host", F.explode("some").alias("s")).select("host", "s.place", "s.html")
-    trees = written(chosen.groupBy("host").applyInPandas(_trees, "host string, tree string"), "trees")
+    # the layouts of all pages, merged by host and salt and then by host
+    layouts = hosted.mapInPandas(_layouts, "host string, tree string").distinct().withColumn("salt", F.expr(f"int(pmod(xxhash64(tree), {SALTS}))"))
+    partly = layouts.repartition("host", "salt").sortWithinPartitions("host", "salt", "tree").mapInPandas(_merge_runs(["host", "salt"]), "host string, salt int, tree string")
+    trees = partly.repartition("host").sortWithinPartitions("host", "salt").mapInPandas(_merge_runs(["host"]), "host string, salt int, tree string")
+    trees = written(trees.select("host", "tree"), "trees")
     rows = _with_wrapper(hosted, trees).mapInPandas(_count_slots, "host string, slot long, text long, body long")
     seen = rows.groupBy("host", "slot", "text", "body").agg(F.lit(1).alias("one"))  # copies of a page count once
     counts = written(seen.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(f"n >= {CONSTANT_PAGES}"), "slots")

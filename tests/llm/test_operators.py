@@ -219,6 +219,16 @@ def test_constant_text_goes_from_hosts_of_few_pages(spark):
     assert got[20] == got[21] == "Shop open daily\nOwn text 0"  # copies tell nothing
 
 
+def test_wrapper_holds_the_layouts_of_all_pages_however_many_copies(spark):
+    page = lambda k: f"<body><div class='k{'abcdefghij'[k]}'><i>x</i></div><div class='x'>Shop open daily</div><p>Own text {k}</p></body>"
+    rows = [(100 * k + c, f"http://many.example/{k}/{c}", page(k)) for k in range(10) for c in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    [wrapper] = html_extract.induce(pages).collect()
+    assert all(f"div.k{x}" in wrapper["tree"] for x in "abcdefghij") and len(wrapper["template"]) == 1
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert all(got[100 * k + 7] == f"x\nOwn text {k}" for k in range(10))
+
+
 def test_packing_is_an_exact_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
