@@ -31,6 +31,9 @@ ADDED = [
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 1),
 ]
 KINDS = [kind for kind, _, _ in [*BASE, *ADDED]]
+#: What follows a pem header: up to its END line, or if that is missing its header lines and base64.
+PEM_REST = r"^[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+PEM_CUT = r"^(?:(?:\s|\\[nr])*+(?:[A-Za-z-]++:\x20[^\n]*+|[A-Za-z0-9+/=]{16,}+))*+"
 FINDING = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -100,13 +103,22 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every finding's text replaced by mark; overlapping findings are one.
-    The blob ledger is scanned as in find_secrets; only documents with findings are joined."""
+    A private key goes with its header, to its END line. Findings are those of the text's blob,
+    whatever the doc_id."""
     columns = docs.columns
-    hits = find_secrets(docs.select("doc_id", "text")).where(F.size("findings") > 0)
-    hits = written(hits.where("doc_id is not null").select("doc_id", F.col("blob").alias("_blob"), "findings").dropDuplicates(["doc_id", "_blob"]), "findings")
+    _, ledger = update_ledger(docs.select("doc_id", "text"))
+    hits = written(ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), "findings"), "findings")
     few = hits.count() <= BROADCAST_ROWS
     keyed = docs.withColumn("_blob", F.unhex(F.sha2("text", 256)))
-    joined = keyed.join(F.broadcast(hits) if few else hits, ["doc_id", "_blob"], "left")
+    joined = keyed.join(F.broadcast(hits) if few else hits, "_blob", "left")
+
+    def whole(x: Column) -> Column:
+        """A finding with its whole secret: a pem finding is the header line of a key."""
+        rest = F.substring(F.col("text"), x["end"] + 1, F.length("text"))
+        ended = F.length(F.regexp_extract(rest, PEM_REST, 0))
+        more = F.when(ended > 0, ended).otherwise(F.length(F.regexp_extract(rest, PEM_CUT, 0)))
+        return F.struct(x["start"].alias("start"), F.when(x["kind"] == "pem", x["end"] + more).otherwise(x["end"]).alias("end"))
+
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -117,5 +129,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.aggregate("findings", start, step, tail))
+    clean = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.aggregate(F.transform("findings", whole), start, step, tail))
     return joined.withColumn("text", clean).select(*columns)

@@ -200,6 +200,15 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in secret_scan.redact(d).collect()} == {1: "x [SECRET] y", 2: None, 3: "clean"}
 
 
+def test_redaction_of_whole_keys_and_of_rows_without_doc_id(spark):
+    body = "\n".join("QUJD-"[:4] * 16 for _ in range(3000))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [(None, "x password: abcdefghijklmno y"), (None, "clean"), (1, f"a {key} b - c {key} d"), (2, f"a -----BEGIN PRIVATE KEY-----\n{body}\nplain words"), (3, "-----BEGIN PRIVATE KEY-----"), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, "x [SECRET] y"), (None, "clean"), (1, "a [SECRET] b - c [SECRET] d"), (2, "a [SECRET]\nplain words"), (3, "[SECRET]"), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_main_text_of_pages(spark):
     page = lambda k: f"<html><head><title>t</title><script>x</script></head><body><nav><a>Home</a></nav><div class='ad'>Buy {k}</div><article><h1>Head &amp; {k}</h1><p>Own\n text  {k}</p><p>Same line</p></article><div class='comments'><p>c{k}</p></div><footer>f</footer></body></html>"
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)] + [(20, None, None), (21, "http://o.example", ""), (22, "http://h.example/z", page(3))]
