@@ -4,7 +4,8 @@ Categories are predicted in a fixed order by linear models over hashed words and
 beginnings. Each model also sees the probabilities of the categories before it; while training
 these are out-of-fold, from models that did not see the row, so a later model learns how far an
 earlier one can be trusted. The last category, `toxic`, is flagged from a threshold that is
-calibrated on its out-of-fold probabilities.
+calibrated on the out-of-fold probabilities of all labelled rows; the models themselves learn from
+a bounded number of rows of each class.
 
 Labels give only `toxic`. The categories before it are that label together with a seed word of
 the category, so they are weak labels; documents without a seed are left to the last model.
@@ -33,6 +34,8 @@ BITS = 20
 FOLDS = 3
 EVIDENCE = 4.5  # standard deviations from chance at which a slot may carry a weight
 ROWS_PER_CLASS = 4_000  # labelled rows that the chain learns from
+BROADCAST_ROWS = 1_000_000  # labelled doc_ids; beyond that they are joined by a shuffle
+BINS = 100_000  # of the histogram of probabilities that sets the threshold
 CACHED_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,6 +76,7 @@ class Link:
 class Chain:
     links: list[Link] = field(default_factory=list)
     threshold: float = 2.0
+    folds: list["Chain"] = field(default_factory=list)  # what did not see the rows of each fold
 
 
 def _sigmoid(x):
@@ -122,7 +126,7 @@ def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray) -
     cols, rows = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in found])
     seeds = {c: re.compile(r"\b(" + "|".join(SEEDS[c]) + r")\b", re.IGNORECASE) for c in SEEDS}
     before = np.zeros((n, 0))
-    chain = Chain()
+    chain = Chain(folds=[Chain() for _ in range(FOLDS)])
     for category in CATEGORIES:
         y = toxic.astype(float)
         if category in seeds:
@@ -135,21 +139,60 @@ def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray) -
             at[learn] = np.arange(len(learn))
             use = at[rows] >= 0
             link = fit_link(cols[use], at[rows[use]], len(learn), before[learn], y[learn])
+            chain.folds[fold].links.append(link)
             out[inside] = _apply(link, cols, rows, n, before)[inside]
         chain.links.append(fit_link(cols, rows, n, before, y))
         before = np.column_stack([before, _logit(out)])
-    # the threshold with the best F1 out of fold; the middle of the widest gap around it
     order = np.argsort(-out, kind="stable")
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, n + 1) + max(toxic.sum(), 1))
-    k = int(np.argmax(f1))
-    low = out[order[k + 1]] if k + 1 < n else 0.0
-    chain.threshold = float((out[order[k]] + low) / 2)
+    chain.threshold = best_threshold(out[order], toxic[order], 1 - toxic[order])
     return chain
 
 
+def best_threshold(p: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold with the best F1, in the middle of the gap below it. p: falling
+    probabilities, with the number of rows of each class that have them."""
+    hits = np.cumsum(toxic)
+    f1 = 2 * hits / (hits + np.cumsum(clean) + max(toxic.sum(), 1))
+    k = int(np.argmax(f1))
+    low = p[k + 1] if k + 1 < len(p) else 0.0
+    return float((p[k] + low) / 2)
+
+
+def _score_folds(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains: list[Chain] = shared.value
+        slots = _Slots()
+        for batch in batches:
+            fold, p = np.array(batch.column("fold").to_pylist(), int), np.zeros(batch.num_rows)
+            found = [features(x.as_py(), slots) for x in batch.column("text")]
+            for f, chain in enumerate(chains):
+                at = np.flatnonzero(fold == f)
+                if len(at):
+                    p[at] = _chained(chain, [found[k] for k in at])[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.rint(p * BINS).astype(np.int64))], names=["doc_id", "bin"])
+
+    return run
+
+
+def calibrate(docs: DataFrame, known: DataFrame, folds: list[Chain]) -> float:
+    """The threshold from a histogram of the out-of-fold probabilities of all labelled rows."""
+    few = known.count() <= BROADCAST_ROWS
+    rows = docs.select("doc_id", "text")
+    if few:  # beyond that all texts are scored and only scores are joined
+        rows = rows.join(F.broadcast(known.select("doc_id")), "doc_id")
+    rows = rows.select("doc_id", "text", F.expr(f"pmod(xxhash64(text), {FOLDS})").alias("fold"))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("bin", T.LongType())])
+    scored = rows.mapInArrow(_score_folds(docs.sparkSession.sparkContext.broadcast(folds)), schema)
+    scored = scored.join(F.broadcast(known) if few else known, "doc_id")
+    bins = scored.groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
+    bins.sort(key=lambda r: -r["bin"])
+    p, toxic, clean = (np.array([r[c] for r in bins]) for c in ("bin", "toxic", "clean"))
+    return best_threshold(p / BINS, toxic, clean)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Chain:
-    """Learns from about rows_per_class labelled documents of each class, taken by a hash."""
+    """Learns from about rows_per_class labelled documents of each class, taken by a hash; the
+    threshold comes from all labelled documents."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -164,7 +207,19 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         folds.append(r["fold"])
     if len(set(toxic)) < 2:
         return Chain()
-    return train_chain(texts, np.array(toxic), np.array(folds))
+    chain = train_chain(texts, np.array(toxic), np.array(folds))
+    return Chain(chain.links, calibrate(docs, known, chain.folds))
+
+
+def _chained(chain: Chain, found: list[np.ndarray]) -> list[np.ndarray]:
+    """The probabilities of each category."""
+    n = len(found)
+    cols, rows = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in found])
+    before, outs = np.zeros((n, 0)), []
+    for link in chain.links:
+        outs.append(_apply(link, cols, rows, n, before))
+        before = np.column_stack([before, _logit(outs[-1])])
+    return outs
 
 
 def _predict(shared, text_at: int):
@@ -173,13 +228,7 @@ def _predict(shared, text_at: int):
         slots = _Slots()
         for batch in batches:
             found = [features(x.as_py(), slots) for x in batch.column(text_at)]
-            n = len(found)
-            cols, rows = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in found])
-            before, outs = np.zeros((n, 0)), []
-            for link in chain.links:
-                outs.append(_apply(link, cols, rows, n, before))
-                before = np.column_stack([before, _logit(outs[-1])])
-            outs = outs or [np.zeros(n)] * len(CATEGORIES)
+            outs = _chained(chain, found) or [np.zeros(len(found))] * len(CATEGORIES)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(x) for x in outs), pa.array(outs[-1] >= chain.threshold)],
                 names=[*batch.schema.names, *(f"p_{c}" for c in CATEGORIES), "toxic"],

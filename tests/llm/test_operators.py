@@ -278,6 +278,25 @@ def test_toxic_documents_are_flagged_and_clean_ones_are_not(spark):
     assert (flagged.toxic == 1).mean() >= 0.95 and (got[got.toxic == 1].toxic_p).mean() >= 0.5
 
 
+def test_threshold_is_set_at_the_prevalence_of_all_labelled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(3000):  # the mark is in most toxic rows and in some clean ones
+        toxic = k % 20 == 0
+        mark = rng.random() < (0.9 if toxic else 0.1)
+        rows.append((k, " ".join(["mark"] * mark + [f"w{x}" for x in rng.integers(0, 50, 8)]), int(toxic)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, x) for k, _, x in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, rows_per_class=150)  # half of the sample is toxic, a twentieth of the table
+    seen = []
+    whole = toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda p, a, b: seen.append((int(a.sum()), int(b.sum()))) or whole(p, a, b))
+    assert toxicity.train(docs, labels, rows_per_class=150).threshold == chain.threshold
+    assert seen[-1] == (150, 2850) and seen[0][1] < 400
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    assert toxicity.train(docs, labels, rows_per_class=150).threshold == chain.threshold
+
+
 def _brute_components(rows):
     sets = {}
     for d, t in rows:
