@@ -26,6 +26,7 @@ RADIUS = 20
 THRESHOLD = 0.8
 BROADCAST_ROWS = 1_000_000  # of item shingles or item blocks, tens of bytes each
 LANES = 16
+LANE_WORDS = 32_767  # what a lane can count
 
 
 def words(text: Column) -> Column:
@@ -46,17 +47,19 @@ def bag(w: Column) -> Column:
 def simhash(w: Column) -> Column:
     """64 bits: bit p is set if more than half of the words' hashes have it.
 
-    The counts of four bits at a time are added up in 16-bit lanes of one number."""
+    The counts of four bits at a time are added up in 16-bit lanes of one number, for the first
+    32,767 words; further words are counted for each bit."""
     mask = 0x0001000100010001
-    hashes = F.transform(F.slice(w, 1, 32767), lambda x: F.xxhash64(x))
-    half = F.least(F.size(w), F.lit(32767))
+    hashes = F.transform(F.slice(w, 1, LANE_WORDS), lambda x: F.xxhash64(x))
+    further = F.transform(F.slice(w, LANE_WORDS + 1, F.greatest(F.size(w) - LANE_WORDS, F.lit(0))), lambda x: F.xxhash64(x))
     lanes = [_lane(hashes, j, mask) for j in range(LANES)]
     out = F.lit(0).cast("long")
     for j, lane in enumerate(lanes):
         for part in range(4):
             p = LANES * part + j
             count = F.shiftrightunsigned(lane, LANES * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            out = out.bitwiseOR(F.when(count * 2 > half, F.shiftleft(F.lit(1).cast("long"), p)).otherwise(F.lit(0).cast("long")))
+            count = count + F.when(F.size(w) > LANE_WORDS, _ones(further, p)).otherwise(F.lit(0).cast("long"))
+            out = out.bitwiseOR(F.when(count * 2 > F.size(w), F.shiftleft(F.lit(1).cast("long"), p)).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -64,6 +67,10 @@ def _lane(hashes: Column, j: int, mask: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(mask)))
 
 
+def _ones(hashes: Column, p: int) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, p).bitwiseAND(F.lit(1).cast("long")))
+
+
 def blocks(fingerprint: Column, radius: int) -> Column:
     """array<struct<block, value>>: radius + 1 runs of bits."""
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hearthline.llm import decontaminate, html_extract, langid, ngram_join, packing, pii, queries, secret_scan, substring_dedup, topk_search, toxicity
 
@@ -130,6 +131,12 @@ def test_decontamination_finds_what_sliding_over_every_start_finds(spark, docs):
     assert got == _slide(docs[["doc_id", "text"]].values.tolist(), items) and got
 
 
+def test_simhash_counts_all_words(spark):
+    frame = spark.createDataFrame([(1, 40_000, 60_000), (2, 10, 20), (3, 32_767, 1)], "k int, a int, b int")
+    got = frame.selectExpr("k", "concat(array_repeat('x', a), array_repeat('y', b)) AS w", "xxhash64('x') AS x", "xxhash64('y') AS y").select("k", decontaminate.simhash(F.col("w")).alias("fp"), "x", "y")
+    assert {r["k"]: r["fp"] in ([r["y"]], [r["x"]])[r["k"] == 3] for r in got.collect()} == {1: True, 2: True, 3: True}
+
+
 def test_simhash_blocks_lose_none_within_the_radius(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(-(1 << 63), 1 << 63, 40)
