@@ -5,7 +5,7 @@ smallest hash. Equal windows have equal anchors, so a window can repeat only if
 does, and there are about ``2 / (size - anchor + 2)`` anchors for each window. Pass one counts
 anchors in partition sketches, which are merged; the merged sketch overestimates the count of a
 window. Pass two keeps only the windows that it estimates as repeated, and groups those exactly
-by 96 bits of hash: they are shuffled once and sorted by hash and document, and the first
+by 96 bits of two independent hashes of their words' bytes: they are shuffled once and sorted by hash and document, and the first
 document of a hash is read off in passing. A window that repeats is never lost, whatever the
 sketch's size.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from hearthline.llm import hashing
+from hearthline.llm.memory import released
 
 PAGE = 1 << 16  # cells of the sketch that are merged together
 ROWS = 2  # hash rows of the sketch
@@ -61,6 +62,7 @@ def _sketches(width: int, size: int, anchor: int):
     """For each partition the cells that it counted: by page, the cell's place in the page,
     twice if it was counted more than once (2 is all that matters)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         held = 0
@@ -94,6 +96,7 @@ def _sketches(width: int, size: int, anchor: int):
     return run
 
 
+@released
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cells that were counted twice or more, as bits by page. Sketches stream through:
     memory holds one byte for each cell of this task's pages, however many sketches there are."""
@@ -112,6 +115,7 @@ def _repeated(sketch, width: int, size: int, anchor: int):
     once only the first document's go on to the grouping; the others are settled here, and leave
     as runs of adjacent windows with g = -1. So a window that is everywhere moves once a task."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
         held: list[tuple[np.ndarray, ...]] = []
@@ -150,7 +154,7 @@ def _repeated(sketch, width: int, size: int, anchor: int):
                     doc = w.text[at] + offset
                     held.append((
                         hashing.runs(w.hashes, size)[at].view(np.int64),
-                        (hashing.runs(w.hashes, size, 1)[at] >> np.uint64(32)).astype(np.int64),
+                        (hashing.runs(w.hashed(1), size, 1)[at] >> np.uint64(32)).astype(np.int64),
                         ids[doc], tags[doc], (at - w.first[w.text[at]]).astype(np.int64),
                     ))
                     n += len(at)
@@ -168,6 +172,7 @@ def _windows(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 17)]) for x in columns], names=["h", "g", "doc_id", "tag", "pos", "n"])
 
 
+@released
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of windows sorted by hash and document, those of other documents than the first with
     that hash; runs that were settled before pass. Only the last group's key is kept."""
@@ -212,6 +217,7 @@ def repeated_windows(docs: DataFrame, size: int = 13, anchor: int = 8, max_sketc
 
 
 def _cut(size: int, width: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, places = batch.column("text").to_pylist(), batch.column("places")

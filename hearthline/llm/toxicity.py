@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from hearthline.llm.memory import released
+
 CATEGORIES = ["insult", "contempt", "toxic"]
 #: Fixed seed words of the weakly labelled categories.
 SEEDS = {
@@ -159,6 +161,7 @@ def best_threshold(p: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float
 
 
 def _score_folds(shared):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains: list[Chain] = shared.value
         slots = _Slots()
@@ -223,6 +226,7 @@ def _chained(chain: Chain, found: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _predict(shared, text_at: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = shared.value
         slots = _Slots()
