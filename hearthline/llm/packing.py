@@ -7,27 +7,38 @@ lengths in a pack). Patterns are joined back to the pieces by their rank among t
 length; ranks come from counts by (length, salt), so a length that many pieces share is ranked
 in many tasks.
 
+Tokenizing takes the words between blanks of a batch once each, by dictionary encoding; a task
+remembers the ids of the words it met most, and ids are gathered as arrays. This needs a tokenizer
+that drops white space, as `word_bpe_49k.json` does.
+
 Rows: a null text counts as empty, which leaves the end id alone. Rows that repeat a doc_id
 are packed each. A null doc_id is kept.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hearthline.llm import hashing
+from hearthline.llm.memory import released
 from hearthline.storage import written
 
-CACHED = 300_000  # texts between blanks whose ids a task remembers
+CACHED = 1 << 22  # letters of the words whose ids a task remembers, and eight for each word
+SLICE = 1 << 22  # bytes of text that are tokenized together, at least one text
 ROWS_PER_SALT = 50_000
-_blanks = re.compile("[ \t\r\n]+")
+#: A word of letters that normalization leaves as they are but for their case, and what follows it.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&*-;?@\[-`{}~]*)")
 
 
 def default_tokenizer() -> str:
@@ -36,43 +47,128 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(tokenizer: str, size: int, end_id: int, with_ids: bool):
-    """The vocabulary never merges over blanks, so what stands between blanks is tokenized
-    once and remembered."""
+class _Ids:
+    """The ids of words, remembered: word k's are pool[at[k] : at[k] + n[k]]."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        known: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(tokenizer)
+        self.letters = _for_letters(tokenizer)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.stems: dict[str, bytes] = {}
+        self.held = 0
+        self.pool = np.zeros(0, "<u4")
+        self.at, self.n, self.seen = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, four bytes an id. A plain word is its letters and then what
+        follows them, which the tokenizer parts too."""
+        encode = lambda tok, x: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(x, add_special_tokens=False)]
+        if self.letters is None:
+            return encode(self.whole, words)
+        found = list(map(PLAIN.fullmatch, words))
+        stem = [m[1].lower() if m else "" for m in found]
+        rest = [m[2] if m else x for m, x in zip(found, words, strict=True)]
+        new = list(set(stem) - self.stems.keys())
+        self.stems.update(zip(new, encode(self.letters, new), strict=True))
+        new = list(set(rest))
+        ids = dict(zip(new, encode(self.whole, new), strict=True))
+        return [self.stems[x] + ids[y] for x, y in zip(stem, rest, strict=True)]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each of the distinct words."""
+        if self.held > CACHED:
+            self._keep_common()
+        get = self.known.get
+        k = np.array(list(map(get, words, repeat(-1))), np.int64)
+        new = [words[i] for i in np.flatnonzero(k < 0)]
+        if new:
+            ids = self._encode(new)
+            first = len(self.known)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            k[k < 0] = np.arange(first, first + len(new))
+            self.held += sum(map(len, new)) + 8 * len(new)
+            n = np.array(list(map(len, ids)), np.int64) // 4
+            self.at = np.append(self.at, len(self.pool) + np.cumsum(n) - n)
+            self.n = np.append(self.n, n)
+            self.seen = np.append(self.seen, np.zeros(len(n), np.int64))
+            self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+        return k
+
+    def _keep_common(self) -> None:
+        """Words that were met once go; all go if that frees less than half."""
+        common = self.seen > 1
+        words = [x for x, keep in zip(self.known, common.tolist(), strict=True) if keep]
+        held = sum(map(len, words)) + 8 * len(words)
+        at, n, pool = self.at[common], self.n[common], self.pool
+        self.forget()
+        if 2 * held <= CACHED:
+            self.known, self.held = dict(zip(words, range(len(words)), strict=True)), held
+            self.n, self.at, self.seen = n, np.cumsum(n) - n, np.ones(len(n), np.int64)
+            self.pool = pool[np.repeat(at - self.at, n) + np.arange(int(n.sum()))]
+
+    def of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end id; where each text's begin, and the end)."""
+        w = hashing.words(texts)
+        n = w.ends - w.starts
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        # the bytes of the words, one after the other
+        spread = np.zeros(len(w.data) + 1, np.int8)
+        spread[w.starts] = 1
+        spread[w.ends] -= 1  # a text's last word may end where the next text's first begins
+        inside = np.cumsum(spread[:-1], dtype=np.int8).astype(bool)
+        words = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(w.data[inside])).dictionary_encode()
+        codes = np.asarray(words.indices)
+        k = self.numbers(words.dictionary.to_pylist())
+        self.seen[k] += np.bincount(codes, minlength=len(k))
+        ends = w.first[1:]
+        at, n = np.insert(self.at[k][codes], ends, -1), np.insert(self.n[k][codes], ends, 1)
+        first = np.concatenate([[0], np.cumsum(n)])
+        pool = np.append(self.pool, np.array([end_id], "<u4"))
+        at[at < 0] = len(self.pool)
+        step = np.ones(first[-1], np.int32)  # from one id's place in the pool to the next
+        step[first[:-1][n > 0]] = np.diff(at[n > 0], prepend=0) - np.append(0, n[n > 0][:-1] - 1)
+        ids = pool[np.cumsum(step, dtype=np.int32)]
+        return ids, np.concatenate([[0], first[ends + np.arange(1, len(ends) + 1)]])
+
+
+def _for_letters(tokenizer: str):
+    """The tokenizer without normalization, for lower-case letters; None if that may differ."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or r"[\p{L}]+|" not in json.dumps(cuts[0]).replace("\\\\", "\\"):
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": cuts[1], "added_tokens": []}))
+
+
+def _pieces(tokenizer: str, size: int, end_id: int, with_ids: bool):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        known = _Ids(tokenizer)
         for batch in batches:
-            columns: dict[str, list] = defaultdict(list)
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                parts = _blanks.split(text.as_py() or "")
-                new = {x for x in parts if x not in known}
-                if new:
-                    if len(known) + len(new) > CACHED:
-                        known = {}
-                        new = set(parts)
-                    new = list(new)
-                    for x, y in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-                        known[x] = np.array(y.ids, "<u4").tobytes()
-                ids = b"".join([known[x] for x in parts]) + end
-                for at in range(0, len(ids), 4 * size):
-                    piece = ids[at : at + 4 * size]
-                    columns["doc_id"].append(doc.as_py())
-                    columns["start"].append(at // 4)
-                    columns["length"].append(len(piece) // 4)
-                    columns["ids_crc32"].append(zlib.crc32(piece))
-                    columns["doc_tokens"].append(len(ids) // 4)
-                    if with_ids:
-                        columns["ids"].append(np.frombuffer(piece, "<u4").astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[c], pa.list_(pa.int64()) if c == "ids" else pa.int64()) for c in ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids],
-            )
+            for offset, part in hashing.slices(batch.column(1), SLICE):
+                ids, first = known.of(part, end_id)
+                total = np.diff(first)
+                parts = -(-total // size)
+                doc = np.repeat(np.arange(len(part)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * size
+                length = np.minimum(total[doc] - start, size)
+                begin = first[doc] + start
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(offset, len(part)).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc])]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, first[-1]), pa.int32()), pa.array(ids.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
     return run
 
@@ -126,7 +222,7 @@ def _slots(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), size, end_id, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), size, end_id, with_ids), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
