@@ -36,14 +36,43 @@ def test_language_is_right_on_held_out_documents(spark, docs):
 
 
 def test_forward_sums_all_segmentations():
-    model = langid.Model(["a"], {"▁": (0.5,), "x": (0.25,), "▁x": (0.125,), "xx": (0.1,)}, 2)
+    names = ["▁", "x", "▁x", "xx"]
+    model = langid.Model(["a"], langid.Pieces(names), np.array([[0.5], [0.25], [0.125], [0.1]]))
     # ▁ x x, ▁x x, ▁ xx
-    assert np.exp(langid.forward("▁xx", model)[0]) == pytest.approx(0.5 * 0.25 * 0.25 + 0.125 * 0.25 + 0.5 * 0.1)
-
-
-def test_parts_are_the_whole_text():
-    text = "ab " * 50_000 + "c" * 200_000 + " d"
-    assert "".join(langid.parts(text)) == text and len(list(langid.parts(text))) > 1
+    want = 0.5 * 0.25 * 0.25 + 0.125 * 0.25 + 0.5 * 0.1
+    assert np.exp(langid.log_probabilities(["xx"], model)[0, 0]) == pytest.approx(want)
+    assert np.exp(langid.long_word("xx", model)[0]) == pytest.approx(want)
+
+
+def test_forward_is_that_of_all_segmentations_one_by_one():
+    rng = np.random.default_rng(4)
+    names = sorted({"▁", "a", "b", "ab", "ba", "▁a", "aab", "bb", "▁ab"})
+    prob = rng.dirichlet(np.ones(len(names)), 2).T
+    model = langid.Model(["x", "y"], langid.Pieces(names), prob)
+
+    def brute(s):  # an unknown letter is a step of its own where no piece ends
+        ahead = [np.ones(2)]
+        for j in range(1, len(s) + 1):
+            parts = [ahead[i] * prob[names.index(s[i:j])] for i in range(j) if s[i:j] in names]
+            ahead.append(sum(parts) if parts else ahead[-1] * langid.UNKNOWN)
+        return np.log(ahead[-1])
+
+    words = ["a", "abba", "aabab", "xaby", "ba", "é", "ab" * 20, "q" * 10]
+    got = langid.log_probabilities(words, model)
+    for word, row in zip(words, got, strict=True):
+        assert row == pytest.approx(brute("▁" + word)) and langid.long_word(word, model) == pytest.approx(row)
+    long = "abx" * 1000
+    assert np.isfinite(langid.long_word(long, model)).all()
+
+
+def test_long_texts_ties_and_clashing_columns_of_language_id(spark):
+    rows = [(k, f"{w} {w}", lang) for k, (w, lang) in enumerate([("haus", "de"), ("house", "en")] * 20)]
+    rows += [(100, "haus " * 100_000, None), (101, "house\n" * 100_000, None), (102, "z" * 300_000, None), (103, "haus house", None), (103, "haus house", None), (104, None, None), (105, "12 -", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS word", "1 AS k", "7.0 AS score")
+    got = langid.identify(docs, langid.train(docs)).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "lang", "word", "k", "lang_pred", "score"}
+    by = {r["doc_id"]: r["lang_pred"] for r in got}
+    assert (by[100], by[101], by[104], by[105]) == ("de", "en", "und", "und") and by[102] in ("de", "en")
 
 
 def test_top_k_ties_and_bad_vectors(spark):
