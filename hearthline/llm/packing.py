@@ -54,7 +54,8 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer)
-        self.letters = _for_letters(tokenizer)
+        self.whole.model._resize_cache(0)  # words are remembered here
+        self.letters = self.whole.model.tokenize if _parts_letters(self.whole) else None
         self.forget()
 
     def forget(self) -> None:
@@ -67,16 +68,17 @@ class _Ids:
     def _encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word, four bytes an id. A plain word is its letters and then what
         follows them, which the tokenizer parts too."""
-        encode = lambda tok, x: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(x, add_special_tokens=False)]
+        whole = lambda x: [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(x, add_special_tokens=False)]
         if self.letters is None:
-            return encode(self.whole, words)
+            return whole(words)
         found = list(map(PLAIN.fullmatch, words))
         stem = [m[1].lower() if m else "" for m in found]
         rest = [m[2] if m else x for m, x in zip(found, words, strict=True)]
-        new = list(set(stem) - self.stems.keys())
-        self.stems.update(zip(new, encode(self.letters, new), strict=True))
+        new, tokenize = list(set(stem) - self.stems.keys()), self.letters
+        for x, y in zip(new, _byte_letters(new), strict=True):
+            self.stems[x] = array("I", [t.id for t in tokenize(y)]).tobytes()
         new = list(set(rest))
-        ids = dict(zip(new, encode(self.whole, new), strict=True))
+        ids = dict(zip(new, whole(new), strict=True))
         return [self.stems[x] + ids[y] for x, y in zip(stem, rest, strict=True)]
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -136,17 +138,23 @@ class _Ids:
         return ids, np.concatenate([[0], first[ends + np.arange(1, len(ends) + 1)]])
 
 
-def _for_letters(tokenizer: str):
-    """The tokenizer without normalization, for lower-case letters; None if that may differ."""
-    from tokenizers import Tokenizer
+def _parts_letters(tokenizer) -> bool:
+    """Whether a plain word's letters are taken by themselves, as they are but for their case."""
+    state = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+    steps = [x["type"] for x in state(tokenizer.normalizer).get("normalizers", [])]
+    cuts = state(tokenizer.pre_tokenizer).get("pretokenizers", [])
+    return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and r"|[\p{L}]+|" in cuts[0]["pattern"].get("Regex", "")
 
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or r"[\p{L}]+|" not in json.dumps(cuts[0]).replace("\\\\", "\\"):
-        return None
-    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": cuts[1], "added_tokens": []}))
+
+def _byte_letters(words: list[str]) -> list[str]:
+    """Words with the bytes of their Latin-1 letters written as byte-level models write bytes:
+    printable ones as the letter of that number, the others as letters from 256 on."""
+    whole = "\n".join(words)
+    if not whole.isascii():
+        odd = [*range(33), *range(127, 161), 173]
+        for point in range(0xC0, 0x100):
+            whole = whole.replace(chr(point), "".join(chr(256 + odd.index(b)) if b in odd else chr(b) for b in chr(point).encode()))
+    return whole.split("\n") if words else []
 
 
 def _pieces(tokenizer: str, size: int, end_id: int, with_ids: bool):
