@@ -245,35 +245,6 @@ def test_redaction_of_whole_keys_and_of_rows_without_doc_id(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_main_text_of_pages(spark):
-    page = lambda k: f"<html><head><title>t</title><script>x</script></head><body><nav><a>Home</a></nav><div class='ad'>Buy {k}</div><article><h1>Head &amp; {k}</h1><p>Own\n text  {k}</p><p>Same line</p></article><div class='comments'><p>c{k}</p></div><footer>f</footer></body></html>"
-    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)] + [(20, None, None), (21, "http://o.example", ""), (22, "http://h.example/z", page(3))]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[20] == got[21] == ""
-    assert got[3] == got[22]
-    assert got[5].split("\n")[:2] == ["Head & 5", "Own text 5"]
-    assert "Buy" not in got[5] and "Home" not in got[5] and "c5" not in got[5]
-
-
-def test_constant_text_goes_from_hosts_of_few_pages(spark):
-    page = lambda k: f"<body><div class='x'>Shop open daily</div><article><p>Own text {k}</p></article><div class='y'>Made with care</div><div class='z'>Extra {k}</div></body>"
-    flat = lambda k: f"<body><div class='x'>Shop open daily</div><p>Own text {k}</p></body>"
-    rows = [(k, f"http://two.example/{k}", flat(k)) for k in range(2)] + [(10 + k, f"http://three.example/{k}", page(k)) for k in range(3)] + [(20, "http://one.example/", flat(0)), (21, "http://one.example/copy", flat(0))]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [got[0], got[1], got[10], got[12]] == ["Own text 0", "Own text 1", "Own text 0", "Own text 2"]
-    assert got[20] == got[21] == "Shop open daily\nOwn text 0"  # copies tell nothing
-
-
-def test_wrapper_holds_the_layouts_of_all_pages_however_many_copies(spark):
-    page = lambda k: f"<body><div class='k{'abcdefghij'[k]}'><i>x</i></div><div class='x'>Shop open daily</div><p>Own text {k}</p></body>"
-    rows = [(100 * k + c, f"http://many.example/{k}/{c}", page(k)) for k in range(10) for c in range(60)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    [wrapper] = html_extract.induce(pages).collect()
-    assert all(f"div.k{x}" in wrapper["tree"] for x in "abcdefghij") and len(wrapper["template"]) == 1
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
-    assert all(got[100 * k + 7] == f"x\nOwn text {k}" for k in range(10))
-
-
 def test_packing_is_an_exact_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
