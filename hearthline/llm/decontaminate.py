@@ -6,19 +6,22 @@ benchmark item; a document shorter than the item is one window. Windows are laid
 shared shingles (five words; all words of a shorter item): at every start, also at the edges, from
 which a window holds as many places of an item's shingles as the threshold asks for. A window with
 fewer cannot be similar. Windows and items get 64-bit SimHashes of their words. Fingerprints are cut into
-``radius + 1`` blocks; two within the radius agree in one block at least, so a join by length,
-block and value finds all of them. For these the similarity of the two bags of shingles,
-sum of least counts over sum of greatest counts, decides.
+``radius + 1`` blocks; two within the radius agree in one block at least, so a join by item,
+block and value finds all of them; a window is joined with the items that it was laid for only, as
+it is similar to no other. For these the similarity of the two bags of shingles, sum of least
+counts over sum of greatest counts, decides.
 
 Rows: a null text has no words; an item without words matches nothing. A null doc_id is a
 document like any other in the result. Rows that repeat a doc_id give one result. A repeated
-item_id gives its best similarity.
+item_id gives its best similarity; of equally similar windows the first counts. Other columns,
+whatever their names, play no part and are kept by `clean`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthline.llm.spans import bound, unused
 from hearthline.storage import written
 
 SHINGLE = 5
@@ -78,10 +81,12 @@ def blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Of two bags."""
+    """Of two bags. Distinct shingles are intersected as sets; only those that repeat in both are
+    counted one by one."""
     count = lambda bag_, x: F.size(F.filter(bag_, lambda y: y == x))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
-    return common / (F.size(a) + F.size(b) - common)
+    again = lambda bag_: bound(F.array_sort(bag_), lambda s: F.array_distinct(F.filter(F.transform(s, lambda x, i: F.when(x == F.get(s, i - 1), x)), lambda x: x.isNotNull())))
+    more = F.aggregate(F.array_intersect(again(a), again(b)), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)) - 1)
+    return bound(F.size(F.array_intersect(a, b)) + more, lambda common: common / (F.size(a) + F.size(b) - common))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, start, n, words: the distinct windows that hold enough shingles of one item of n
+    """doc_id, item_id, start, n, words: the windows that hold enough shingles of an item of n
     words to be similar to it. A document shorter than the item is one window.
 
     items: item_id, words, n."""
@@ -102,7 +107,7 @@ def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
         found = found.join(_bounded(written(marks, "marks")), "h").select("doc_id", "key", "total", "item_id", "n", "pos", F.lit(size).alias("size"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        return docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), words(F.col("text")).alias("words")).where("false")
+        return docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n"), words(F.col("text")).alias("words")).where("false")
     # the key keeps rows that repeat a doc_id apart
     hits = hits.groupBy("doc_id", "key", "total", "item_id", "n", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     held = hits.withColumn("span", F.expr("least(n, total) - size + 1"))  # shingles of a window
@@ -111,14 +116,14 @@ def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     held = held.withColumn("need", F.greatest("need", F.lit(1))).where("size(at) >= need")
     # windows that hold the need shared places from at[i] on start from at[i + need - 1] - span + 1 to at[i]
     runs = F.expr("filter(transform(slice(at, 1, size(at) - need + 1), (x, i) -> struct(greatest(at[i + need - 1] - span + 1, 0) AS low, least(x, greatest(total - n, 0)) AS high)), r -> r.low <= r.high)")
-    starts = held.select("doc_id", "key", "n", F.explode(runs).alias("r")).select("doc_id", "key", "n", F.explode(F.sequence("r.low", "r.high")).alias("start"))
-    starts = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "start")).alias("laid"))
+    starts = held.select("doc_id", "key", "item_id", "n", F.explode(runs).alias("r")).select("doc_id", "key", "item_id", "n", F.explode(F.sequence("r.low", "r.high")).alias("start"))
+    starts = starts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("item_id", "n", "start")).alias("laid"))
     starts = written(starts, "starts").withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
     few = (starts.agg(F.sum(F.size("laid"))).first()[0] or 0) <= BROADCAST_ROWS
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     laid = keyed.join(F.broadcast(starts) if few else starts, F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     laid = laid.select("doc_id", words(F.col("text")).alias("words"), "laid").select("doc_id", "words", F.explode("laid").alias("w"))
-    return laid.select("doc_id", "w.start", "w.n", F.expr("slice(words, w.start + 1, w.n)").alias("words")).distinct()
+    return laid.select("doc_id", "w.item_id", "w.start", "w.n", F.expr("slice(words, w.start + 1, w.n)").alias("words"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -128,10 +133,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items = written(items.withColumn("fp", simhash(F.col("words"))).withColumn("bag", bag(F.col("words"))), "items")
     laid = written(windows(docs, items, threshold), "laid")
     laid = laid.withColumn("fp", simhash(F.col("words"))).withColumn("bag", bag(F.col("words"))).withColumn("held", F.size("words")).drop("words")
-    keys = items.select("item_id", F.col("n"), F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "n", "item_fp", "item_bag", "b.*")
+    keys = items.select("item_id", F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "item_fp", "item_bag", "b.*")
     keys = _bounded(written(keys, "keys"))
-    near = laid.select("doc_id", "start", "n", "held", "fp", "bag", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("doc_id", "start", "n", "held", "fp", "bag", "b.*")
-    pairs = near.join(keys, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = laid.select("doc_id", "item_id", "start", "held", "fp", "bag", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("doc_id", "item_id", "start", "held", "fp", "bag", "b.*")
+    pairs = near.join(keys, ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # a pair can agree in several blocks; it is compared in the first of them
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.lit(radius)
@@ -153,6 +158,7 @@ def _masks(radius: int) -> list[int]:
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The documents that hold no benchmark item. If one row without a doc_id holds an item, all
     rows without a doc_id go, as rows that repeat a doc_id do."""
-    bad = written(contaminated(docs, benchmark, **params).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "_leak")
+    leak = unused(docs, "leak")
+    bad = written(contaminated(docs, benchmark, **params).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", leak)
     few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col(leak)), "left_anti")

@@ -6,14 +6,15 @@ blobs that the ledger lacks under the current rule version, one copy of each, ad
 ledger, and joins findings back to all paths by blob. All of it is DataFrame functions.
 
 Rows: a null text is the empty blob. Rows without an id or with a repeated one are paths like
-any other. Columns of the input other than the text are kept.
+any other. Columns of the input other than the text are kept; blob and findings replace columns
+of these names. Long texts with many matches take time in proportion to the matches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthline.llm.spans import listed, matches
+from hearthline.llm.spans import cut, listed, matches, unused
 from hearthline.storage import written
 
 RULE_VERSION = 1
@@ -84,7 +85,7 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rule_version
 
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
     """Every path (row of docs, without its text) with its blob and findings."""
-    docs = docs.drop("blob", "findings", "rule_version")
+    docs = docs.drop("findings")
     paths, ledger = update_ledger(docs, ledger, rule_version)
     current = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings")
     hits = current.where(F.size("findings") > 0)
@@ -104,13 +105,12 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every finding's text replaced by mark; overlapping findings are one.
     A private key goes with its header, to its END line. Findings are those of the text's blob,
-    whatever the doc_id."""
-    columns = docs.columns
+    whatever the doc_id. Columns are those of docs, whatever their names."""
+    columns, own, found = docs.columns, unused(docs, "blob"), unused(docs, "findings")
     _, ledger = update_ledger(docs.select("doc_id", "text"))
-    hits = written(ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), "findings"), "findings")
+    hits = written(ledger.where(F.size("findings") > 0).select(F.col("blob").alias(own), F.col("findings").alias(found)), "findings")
     few = hits.count() <= BROADCAST_ROWS
-    keyed = docs.withColumn("_blob", F.unhex(F.sha2("text", 256)))
-    joined = keyed.join(F.broadcast(hits) if few else hits, "_blob", "left")
+    joined = docs.withColumn(own, F.unhex(F.sha2("text", 256))).join(F.broadcast(hits) if few else hits, own, "left")
 
     def whole(x: Column) -> Column:
         """A finding with its whole secret: a pem finding is the header line of a key."""
@@ -119,15 +119,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         more = F.when(ended > 0, ended).otherwise(F.length(F.regexp_extract(rest, PEM_CUT, 0)))
         return F.struct(x["start"].alias("start"), F.when(x["kind"] == "pem", x["end"] + more).otherwise(x["end"]).alias("end"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["end"] <= acc["at"]
-        touching = (x["start"] < acc["at"]) & (acc["at"] > 0)
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        out = F.when(inside | touching, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.aggregate(F.transform("findings", whole), start, step, tail))
-    return joined.withColumn("text", clean).select(*columns)
+    clean = F.when(F.size(found) > 0, cut(F.col("text"), F.transform(found, whole), mark)).otherwise(F.col("text"))
+    return joined.withColumn("text", clean).select(*(f"`{c}`" for c in columns))

@@ -14,7 +14,8 @@ lets more windows through, and the second pass has more to group, with the same
 
 Rows: a null text has no words; a null doc_id is neither smaller nor larger than another, so
 such rows keep all their words; rows with one doc_id are judged each on its own text, and none
-of them is an earlier document than the others. Columns of the input are kept.
+of them is an earlier document than the others. Columns of the input are kept; n_words, n_removed
+and kept_text replace columns of these names. A document's windows are judged whatever its length.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from hearthline.llm import hashing
 from hearthline.llm.memory import released
+from hearthline.llm.spans import whole_row
 
 PAGE = 1 << 16  # cells of the sketch that are merged together
 ROWS = 2  # hash rows of the sketch
@@ -216,7 +218,7 @@ def repeated_windows(docs: DataFrame, size: int = 13, anchor: int = 8, max_sketc
     return sorted_.mapInArrow(_later, "doc_id long, tag long, pos long, n long")
 
 
-def _cut(size: int, width: int):
+def _cut(size: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +238,9 @@ def _cut(size: int, width: int):
                 else:
                     removed.append(0)
                 kept.append(b" ".join(found).decode())
-            rest = [batch.column(k) for k in range(width)]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                names=[*batch.schema.names[:width], "n_words", "n_removed", "kept_text"],
+                [batch.column("row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                names=["row", "n_words", "n_removed", "kept_text"],
             )
 
     return run
@@ -248,11 +249,10 @@ def _cut(size: int, width: int):
 def dedup_substrings(docs: DataFrame, size: int = 13, **sketch) -> DataFrame:
     """The documents with n_words, n_removed and kept_text: each word covered by a window of
     `size` words that also starts in a document with a smaller doc_id is removed."""
-    clash = [c for c in docs.columns if c in ("n_words", "n_removed", "kept_text", "places", "tag")]
-    docs = docs.drop(*clash)
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     runs = repeated_windows(docs, size, **sketch).select("doc_id", "tag", (F.col("pos") * RUN + F.col("n")).alias("run"))
     places = runs.groupBy("doc_id", "tag").agg(F.collect_list("run").alias("places"))
-    keyed = docs.withColumn("tag", F.crc32("text"))
-    joined = keyed.join(places.hint("shuffle_hash"), ["doc_id", "tag"], "left").select(*docs.columns, "places")
-    schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_cut(size, len(docs.columns)), schema)
+    keyed = docs.select(whole_row(docs), "doc_id", "text", F.crc32("text").alias("tag"))
+    joined = keyed.join(places.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("row", "text", "places")
+    schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(_cut(size), schema).select("row.*", "n_words", "n_removed", "kept_text")
