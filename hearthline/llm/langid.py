@@ -33,10 +33,10 @@ from hearthline.storage import forget, written
 MARK = "▁"  # the vocabulary's word start
 NO_WORD = r"[^\pL]+"
 CACHED = 1 << 22  # letters of the words that a task remembers, and 40 for each word
-SLICE = 1 << 22  # bytes of text that are looked at together, at least one text
+SLICE = 1 << 21  # bytes of text that are looked at together, at least one text
 UNKNOWN = 1e-8  # of a letter that is no piece
 LONG = 64  # letters; longer words are summed each by itself
-STATES = 1 << 18  # cells for the states of words that are summed together
+STATES = 1 << 17  # cells for the states of words that are summed together
 SMALL = 1e-100  # probabilities below this are scaled up
 
 
