@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from hearthline.sources.tables import PYEONG
 
+#: Metres of the earth's radius; the cuts and names of bands and verdicts below.
 EARTH_M = 6_371_008.8
 
 
@@ -95,3 +96,131 @@ def dcf(cash: Column, growth: Column, rate: Column, terminal: float = 0.025, yea
     flows = F.aggregate(F.sequence(F.lit(1), F.lit(years)), F.lit(0.0), lambda acc, t: acc + cash * F.pow(ratio, t))
     last = cash * F.pow(ratio, F.lit(years)) * (1 + terminal) / (rate - terminal)
     return F.when(rate - terminal >= 0.01, flows + last)
+
+
+def seconds_to_minutes(seconds: Column) -> Column:
+    return seconds / 60
+
+
+def household_band(count: Column) -> Column:
+    """By number of households; none or zero is unknown."""
+    return banded(F.when(count != 0, count), [300, 600, 1000, 1500], ["<300", "300-600", "600-1000", "1000-1500", "1500+"], strict=True)
+
+
+def area_type_key(area_m2: Column) -> Column:
+    """Whole square metres, halves to the even one."""
+    return F.bround(area_m2, 0).cast("long")
+
+
+def knots_for(n: Column) -> Column:
+    """How many spline knots a number of complexes carries."""
+    return F.when(n >= 1500, 7).when(n >= 700, 6).when(n >= 250, 5).otherwise(4)
+
+
+def log_to_pct(delta: Column) -> Column:
+    return (F.exp(delta) - 1) * 100
+
+
+def month_number(ym: Column) -> Column:
+    """Of yyyyMM."""
+    return (F.substring(ym, 1, 4).cast("long") * 12 + F.substring(ym, 5, 2).cast("long") - 1).cast("long")
+
+
+def month_name(number: Column) -> Column:
+    """yyyyMM of a month's number."""
+    return F.concat(F.lpad(F.floor(number / 12).cast("string"), 4, "0"), F.lpad((number % 12 + 1).cast("string"), 2, "0"))
+
+
+def shift_month(ym: Column, months: int) -> Column:
+    return month_name(month_number(ym) + months)
+
+
+def quarter_end(quarter: Column) -> Column:
+    """The number of the last month of yyyyQn."""
+    return (F.substring(quarter, 1, 4).cast("long") * 12 + F.substring(quarter, 6, 1).cast("long") * 3 - 1).cast("long")
+
+
+def fifth_of(percentile: Column) -> Column:
+    """0 to 4 by percentile."""
+    return F.least(F.floor(percentile / 20), F.lit(4)).cast("long")
+
+
+def sign_of(low: Column, high: Column) -> Column:
+    """What an interval says about a sign."""
+    return F.when(low > 0, "pos").when(high < 0, "neg").otherwise("none")
+
+
+def near(a: Column, b: Column, share: float = 0.03) -> Column:
+    return F.abs(a - b) <= share * (a + b) / 2
+
+
+def line_at(i1: Column, v1: Column, i2: Column, v2: Column, t: Column) -> Column:
+    """The value at t of the line through two points."""
+    return v1 + (v2 - v1) * (t - i1) / (i2 - i1)
+
+
+def cagr(now: Column, then: Column, years: int) -> Column:
+    """Growth a year; null unless both values are positive."""
+    return F.when((now > 0) & (then > 0), F.pow(now / then, F.lit(1 / years)) - 1)
+
+
+def dcf_rows(cash: Column, growth: Column, rate: Column, years: int = 5) -> Column:
+    """array<struct<year, cash, discount, value>> of the growing years."""
+    def row(t: Column) -> Column:
+        flow, discount = cash * F.pow(1 + growth, t), 1 / F.pow(1 + rate, t)
+        return F.struct(t.alias("year"), flow.alias("cash"), discount.alias("discount"), (flow * discount).alias("value"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(years)), row)
+
+
+def implied_growth(cash: Column, rate: Column, cap: Column, low: float = -0.5, high: float = 1.0) -> Column:
+    """The growth at which dcf gives cap, by halving [low, high] 60 times; null if it isn't there."""
+    def halve(at: Column, _: Column) -> Column:
+        mid = (at["low"] + at["high"]) / 2
+        under = dcf(cash, mid, rate) < cap
+        return F.struct(F.when(under, mid).otherwise(at["low"]).alias("low"), F.when(under, at["high"]).otherwise(mid).alias("high"))
+
+    ends = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), ends, halve, lambda at: (at["low"] + at["high"]) / 2)
+    return F.when((dcf(cash, F.lit(low), rate) <= cap) & (cap <= dcf(cash, F.lit(high), rate)), found)
+
+
+def rounded(value: Column, places: int = 2) -> Column:
+    """Null for what is no finite number."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.round(value, places))
+
+
+def interpolated(xs: Column, ys: Column, x: Column) -> Column:
+    """Piecewise-linear through (xs, ys), xs rising; level beyond both ends."""
+    after = F.size(F.filter(xs, lambda v: v <= x))
+    at = lambda a, k: F.get(a, k)
+    inner = line_at(at(xs, after - 1), at(ys, after - 1), at(xs, after), at(ys, after), x)
+    return F.when(after == 0, at(ys, F.lit(0))).when(after == F.size(xs), at(ys, after - 1)).otherwise(inner)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _sides(ring: Column) -> Column:
+    """The sides of a closed ring array<struct<x, y>>, whose last point is its first."""
+    return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+
+
+def ring_area(ring: Column) -> Column:
+    return F.abs(F.aggregate(_sides(ring), F.lit(0.0), lambda acc, s: acc + s["x1"] * s["y2"] - s["x2"] * s["y1"])) / 2
+
+
+def inside_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring: a ray to the right crosses an odd number of sides."""
+    def crosses(s: Column) -> Column:
+        return ((s["y1"] > y) != (s["y2"] > y)) & (x < s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / (s["y2"] - s["y1"]))
+
+    return F.size(F.filter(_sides(ring), crosses)) % 2 == 1
+
+
+def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / length)))
+    return F.hypot(px - ax - t * dx, py - ay - t * dy)

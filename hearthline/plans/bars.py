@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions.scalars import pct_change, verdict
+from hearthline.operators.ranks import quantiles, ranked
 from hearthline.sources.tables import daily_bars, quotes
 from hearthline.storage import ship
 
@@ -122,11 +123,9 @@ def asking_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' asking prices against the median of their kind: gap, verdict and rank, cheapest
     first within the kind."""
     q = quotes(spark, sf_dir).groupBy("user_id", "kind").agg(F.count("*").alias("seen"), F.avg("price").alias("price"))
-    mid = q.groupBy("kind").agg(F.median("price").alias("mid"))
-    gap = F.round(pct_change(F.col("price"), F.col("mid")), 4)
-    rows = q.join(mid, "kind").withColumn("gap", gap)
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("gap", "user_id")).cast("long")
-    return rows.select("kind", "user_id", "seen", "gap", verdict(F.col("gap")).alias("verdict"), rank.alias("rank"))
+    mid = quantiles(q, ["kind"], "price", [0.5]).select("kind", F.col("q")[0].alias("mid"))
+    rows = q.join(mid, "kind").withColumn("gap", F.round(pct_change(F.col("price"), F.col("mid")), 4))
+    return ranked(rows, ["kind"], ["gap", "user_id"]).select("kind", "user_id", "seen", "gap", verdict(F.col("gap")).alias("verdict"), "rank")
 
 
 ASKING_RANKS = f"""WITH {QUOTES}, u AS (SELECT user_id, kind, count(*) AS seen, avg(price) AS price FROM q GROUP BY 1, 2), m AS (SELECT kind, quantile_cont(price, 0.5) AS mid FROM u GROUP BY 1),

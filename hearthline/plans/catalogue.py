@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.plans import bars, market, series, signals
+from hearthline.plans import bars, formulas, loads, lookups, market, series, signals
 
 FLAGSHIP = "market_index"
 
@@ -18,8 +18,8 @@ MONTHLY_TRADE_VOLUME = "SELECT strftime(l_shipdate, '%Y-%m') AS ym, count(*) AS
 
 
 def queries() -> dict:
-    return {"monthly_trade_volume": monthly_trade_volume, **market.QUERIES, **series.QUERIES, **bars.QUERIES, **signals.QUERIES}
+    return {"monthly_trade_volume": monthly_trade_volume, **market.QUERIES, **series.QUERIES, **bars.QUERIES, **signals.QUERIES, **lookups.QUERIES, **loads.QUERIES, **formulas.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"monthly_trade_volume": MONTHLY_TRADE_VOLUME, **market.SQL, **series.SQL, **bars.SQL, **signals.SQL}
+    return {"monthly_trade_volume": MONTHLY_TRADE_VOLUME, **market.SQL, **series.SQL, **bars.SQL, **signals.SQL, **lookups.SQL, **loads.SQL, **formulas.SQL}

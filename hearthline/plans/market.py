@@ -1,8 +1,7 @@
 """Trades: composition-free price index, comparable sales, floor and building effects, groups.
 
-Medians and quantiles are exact. Their groups are cells such as (complex, area type) or
-(month), so a group is a small part of the rows; quantiles over a whole table are taken over
-one row for each complex.
+Medians and quantiles are exact. Those of cells such as (complex, area type) are grouped
+aggregates; those of months and bands, which grow with the table, come from ranks over ranges.
 """
 
 from __future__ import annotations
@@ -10,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions.scalars import area_band, floor_band
+from hearthline.operators.ranks import quantiles
 from hearthline.sources.tables import complexes, trades
 
 TRADES = """trades AS (
   SELECT l_partkey AS complex_id, CAST(l_shipdate AS DATE) AS deal_date, strftime(l_shipdate, '%Y-%m') AS deal_ym, l_quantity AS exclusive_area,
-    CAST(ceil(l_quantity / 10) AS BIGINT) AS area_key, CAST(l_linenumber AS BIGINT) AS floor, l_suppkey AS dong, l_extendedprice AS deal_amount,
+    CAST(round_even(l_quantity, 0) AS BIGINT) AS area_key, CAST(l_linenumber AS BIGINT) AS floor, l_suppkey AS dong, l_extendedprice AS deal_amount,
     l_extendedprice / (l_quantity / 3.305785) AS ppp, CASE l_returnflag WHEN 'R' THEN 'direct' WHEN 'A' THEN 'broker' ELSE '' END AS deal_type
   FROM lineitem)"""
 
@@ -32,7 +32,7 @@ def index_of(t: DataFrame) -> DataFrame:
     t = open_market(t)
     base = t.groupBy("complex_id", "area_key").agg(F.median("ppp").alias("base"), F.count("*").alias("cell")).where("cell >= 3")
     rel = t.join(base, ["complex_id", "area_key"]).select("deal_ym", (F.col("ppp") / F.col("base")).alias("rel"))
-    months = rel.groupBy("deal_ym").agg(F.count("*").alias("n"), F.median("rel").alias("med"))
+    months = quantiles(rel, ["deal_ym"], "rel", [0.5]).select("deal_ym", "n", F.col("q")[0].alias("med"))
     in_order = Window.orderBy("deal_ym")  # one row for each month of the calendar
     kept = F.when((F.col("n") >= 5) | (F.row_number().over(in_order) == 1), F.col("med"))
     carried = months.withColumn("kept", kept).withColumn("level", F.last("kept", ignorenulls=True).over(in_order))
@@ -76,7 +76,10 @@ def area_band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of complexes (their medians) by area band."""
     t = open_market(trades(spark, sf_dir)).withColumn("band", area_band(F.col("exclusive_area")))
     per = t.groupBy("band", "complex_id").agg(F.median("ppp").alias("ppp"))
-    return per.groupBy("band").agg(*_described("ppp"))
+    plain = per.groupBy("band").agg(F.round(F.avg("ppp"), 1).alias("mean"), F.round(F.min("ppp"), 1).alias("low"), F.round(F.max("ppp"), 1).alias("high"))
+    at = lambda k: F.round(F.col("q")[k], 1)
+    ranked = quantiles(per, ["band"], "ppp", [0.25, 0.5, 0.75]).select("band", "n", at(1).alias("median"), at(0).alias("p25"), at(2).alias("p75"))
+    return ranked.join(plain, "band")
 
 
 AREA_BAND_STATS = f"""WITH {TRADES}, t AS (
@@ -86,21 +89,30 @@ SELECT band, {_DESCRIBED} FROM per GROUP BY 1"""
 
 
 def floor_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median price by floor band relative to its (complex, area) cell; cells of four trades."""
-    t = open_market(trades(spark, sf_dir))
+    """Price by floor band: month-neutral prices relative to the median of their (complex, area)
+    cell of four trades at least, pooled over all cells; trades without a floor take no part."""
+    t = open_market(trades(spark, sf_dir)).where("floor is not null")
     tops = t.groupBy("complex_id").agg(F.max("floor").alias("top"))
-    cells = t.groupBy("complex_id", "area_key").agg(F.median("ppp").alias("mid"), F.count("*").alias("cell")).where("cell >= 4")
-    rel = t.join(tops, "complex_id").join(cells, ["complex_id", "area_key"]).select(floor_band(F.col("floor"), F.col("top")).alias("band"), "complex_id", (F.col("ppp") / F.col("mid")).alias("rel"))
-    per = rel.groupBy("band", "complex_id").agg(F.median("rel").alias("rel"), F.count("*").alias("n"))
-    return per.groupBy("band").agg(F.sum("n").alias("n"), F.round(F.median("rel"), 6).alias("factor")).where("n >= 5")
+    months = index_of(trades(spark, sf_dir)).select("deal_ym", "idx")
+    adj = F.col("ppp") / F.coalesce(F.when(F.col("idx") != 0, F.col("idx")), F.lit(1.0))
+    t = t.join(F.broadcast(months), "deal_ym", "left").withColumn("adj", adj)  # months of a calendar
+    cells = t.groupBy("complex_id", "area_key").agg(F.median("adj").alias("mid"), F.count("*").alias("cell")).where("cell >= 4 and mid > 0")
+    rel = t.join(tops, "complex_id").join(cells, ["complex_id", "area_key"]).select(floor_band(F.col("floor"), F.col("top")).alias("band"), (F.col("adj") / F.col("mid")).alias("rel"))
+    return quantiles(rel, ["band"], "rel", [0.5]).where("n >= 5").select("band", "n", F.round(F.col("q")[0], 4).alias("factor"))
+
 
+_INDEX = """base AS (SELECT complex_id, area_key, quantile_cont(ppp, 0.5) AS base FROM t GROUP BY 1, 2 HAVING count(*) >= 3),
+m AS (SELECT deal_ym, count(*) AS n, quantile_cont(ppp / base, 0.5) AS med FROM t JOIN base USING (complex_id, area_key) GROUP BY 1),
+k AS (SELECT deal_ym, CASE WHEN n >= 5 OR row_number() OVER (ORDER BY deal_ym) = 1 THEN med END AS kept FROM m),
+c AS (SELECT deal_ym, last_value(kept IGNORE NULLS) OVER (ORDER BY deal_ym) AS level FROM k),
+ix AS (SELECT deal_ym, level / last_value(level) OVER (ORDER BY deal_ym ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS idx FROM c)"""
 
-FLOOR_FACTORS = f"""WITH {TRADES}, t AS (SELECT * FROM trades WHERE deal_type <> 'direct'), tops AS (SELECT complex_id, max(floor) AS top FROM t GROUP BY 1),
-cells AS (SELECT complex_id, area_key, quantile_cont(ppp, 0.5) AS mid FROM t GROUP BY 1, 2 HAVING count(*) >= 4),
-rel AS (SELECT CASE WHEN floor IS NULL THEN 'unknown' WHEN floor <= 1 THEN 'first' WHEN top >= 8 THEN CASE WHEN floor >= top THEN 'top' WHEN floor / top <= 0.25 THEN 'low' WHEN floor / top <= 0.65 THEN 'middle' ELSE 'high' END
-  WHEN floor <= 3 THEN 'low' WHEN floor <= 7 THEN 'middle' ELSE 'high' END AS band, complex_id, ppp / mid AS rel FROM t JOIN tops USING (complex_id) JOIN cells USING (complex_id, area_key)),
-per AS (SELECT band, complex_id, quantile_cont(rel, 0.5) AS rel, count(*) AS n FROM rel GROUP BY 1, 2)
-SELECT band, CAST(sum(n) AS BIGINT) AS n, round(quantile_cont(rel, 0.5), 6) AS factor FROM per GROUP BY 1 HAVING sum(n) >= 5"""
+FLOOR_FACTORS = f"""WITH {TRADES}, t AS (SELECT * FROM trades WHERE deal_type <> 'direct'), {_INDEX}, tops AS (SELECT complex_id, max(floor) AS top FROM t GROUP BY 1),
+a AS (SELECT t.*, ppp / coalesce(nullif(idx, 0), 1) AS adj FROM t LEFT JOIN ix USING (deal_ym) WHERE floor IS NOT NULL),
+cells AS (SELECT complex_id, area_key, quantile_cont(adj, 0.5) AS mid FROM a GROUP BY 1, 2 HAVING count(*) >= 4),
+rel AS (SELECT CASE WHEN floor <= 1 THEN 'first' WHEN top >= 8 THEN CASE WHEN floor >= top THEN 'top' WHEN floor / top <= 0.25 THEN 'low' WHEN floor / top <= 0.65 THEN 'middle' ELSE 'high' END
+  WHEN floor <= 3 THEN 'low' WHEN floor <= 7 THEN 'middle' ELSE 'high' END AS band, adj / mid AS rel FROM a JOIN tops USING (complex_id) JOIN cells USING (complex_id, area_key) WHERE mid > 0)
+SELECT band, count(*) AS n, round(quantile_cont(rel, 0.5), 4) AS factor FROM rel GROUP BY 1 HAVING count(*) >= 5"""
 
 
 def fair_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,23 +130,19 @@ def fair_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = F.when(F.col("stage") == "type", F.col("own")).otherwise(F.col("all"))
     n = F.when(F.col("stage") == "type", F.col("own_n")).otherwise(F.col("all_n"))
     out = both.where("stage is not null").select("complex_id", "area_key", "stage", n.alias("n"), (F.col("area") / 3.305785).alias("pyeong"), use.alias("q"))
-    at = lambda k: F.round(F.col("q")[k] * F.col("pyeong"), 4)
+    at = lambda k: F.round(F.col("q")[k] * F.col("pyeong") + 1e-7, 4)  # noqa: E731  halves go up, whatever the last bit
     confidence = F.when(F.col("stage") == "complex", "low").when(F.col("n") >= 10, "high").when(F.col("n") >= 5, "medium").otherwise("low")
     return out.select("complex_id", "area_key", "stage", "n", at(1).alias("fair"), at(0).alias("fair_low"), at(2).alias("fair_high"), confidence.alias("confidence"))
 
 
 FAIR_PRICE = f"""WITH {TRADES}, t AS (SELECT * FROM trades WHERE deal_type <> 'direct'),
-base AS (SELECT complex_id, area_key, quantile_cont(ppp, 0.5) AS base FROM t GROUP BY 1, 2 HAVING count(*) >= 3),
-m AS (SELECT deal_ym, count(*) AS n, quantile_cont(ppp / base, 0.5) AS med FROM t JOIN base USING (complex_id, area_key) GROUP BY 1),
-k AS (SELECT deal_ym, CASE WHEN n >= 5 OR row_number() OVER (ORDER BY deal_ym) = 1 THEN med END AS kept FROM m),
-c AS (SELECT deal_ym, last_value(kept IGNORE NULLS) OVER (ORDER BY deal_ym) AS level FROM k),
-ix AS (SELECT deal_ym, level / last_value(level) OVER (ORDER BY deal_ym ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS idx FROM c),
+{_INDEX},
 a AS (SELECT t.*, ppp / coalesce(nullif(idx, 0), 1) AS adj FROM t LEFT JOIN ix USING (deal_ym)),
 own AS (SELECT complex_id, area_key, count(*) AS own_n, quantile_cont(adj, [0.25, 0.5, 0.75]) AS own, quantile_cont(exclusive_area, 0.5) AS area FROM a GROUP BY 1, 2),
 whole AS (SELECT complex_id, count(*) AS all_n, quantile_cont(adj, [0.25, 0.5, 0.75]) AS whole FROM a GROUP BY 1),
 j AS (SELECT complex_id, area_key, CASE WHEN own_n >= 3 THEN 'type' WHEN all_n >= 3 THEN 'complex' END AS stage, CASE WHEN own_n >= 3 THEN own_n ELSE all_n END AS n,
   area / 3.305785 AS p, CASE WHEN own_n >= 3 THEN own ELSE whole END AS q FROM own JOIN whole USING (complex_id))
-SELECT complex_id, area_key, stage, n, round(q[2] * p, 4) AS fair, round(q[1] * p, 4) AS fair_low, round(q[3] * p, 4) AS fair_high,
+SELECT complex_id, area_key, stage, n, round(q[2] * p + 1e-7, 4) AS fair, round(q[1] * p + 1e-7, 4) AS fair_low, round(q[3] * p + 1e-7, 4) AS fair_high,
   CASE WHEN stage = 'complex' THEN 'low' WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM j WHERE stage IS NOT NULL"""
 
 

@@ -132,12 +132,15 @@ k AS (SELECT * FROM w WHERE n = 12) SELECT a.series, count(*) AS n, round(corr(a
 
 
 def year_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of the years that have all twelve months."""
-    rows = monthly_series(spark, sf_dir).groupBy("series", F.substring("ym", 1, 4).alias("year")).agg(F.sum("value").alias("total"), F.count("*").alias("months"))
-    return rows.where("months = 12").select("series", "year", F.round("total", 4).alias("total"))
+    """Sums of the years that have all twelve months; a month is its mean to four places, in whole
+    numbers, so sums don't depend on their order."""
+    months = monthly_series(spark, sf_dir).select("series", "ym", "cents", "n")
+    rows = months.withColumn("units", F.expr("(cents * 200 + n) div (2 * n)")).groupBy("series", F.substring("ym", 1, 4).alias("year")).agg(F.sum("units").alias("total"), F.count("*").alias("months"))
+    return rows.where("months = 12").select("series", "year", (F.col("total") / 10000).alias("total"))
 
 
-YEAR_TOTALS = f"WITH {SERIES} SELECT series, substr(ym, 1, 4) AS year, round(sum(value), 4) AS total FROM s GROUP BY 1, 2 HAVING count(*) = 12"
+YEAR_TOTALS = """WITH m AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y') AS year, month(o_orderdate) AS month, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM orders GROUP BY 1, 2, 3)
+SELECT series, year, CAST(sum((cents * 200 + n) // (2 * n)) AS BIGINT) / 10000 AS total FROM m GROUP BY 1, 2 HAVING count(*) = 12"""
 
 
 def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

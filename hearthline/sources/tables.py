@@ -34,7 +34,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(day, "yyyy-MM").alias("deal_ym"),
         month_index(day).alias("mi"),
         area.alias("exclusive_area"),
-        F.ceil(area / 10).cast("long").alias("area_key"),
+        F.bround(area, 0).cast("long").alias("area_key"),
         F.col("l_linenumber").cast("long").alias("floor"),
         F.col("l_suppkey").cast("long").alias("dong"),
         F.col("l_extendedprice").cast("double").alias("deal_amount"),
@@ -63,11 +63,12 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series (order priority), ym, mi, value: the mean order value of the month."""
+    """series (order priority), ym, mi, value: the mean order value of the month; cents and n: the sum
+    in cents and the number of orders."""
     x = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate").cast("date")
     rows = x.select(F.col("o_orderpriority").alias("series"), F.date_format(day, "yyyy-MM").alias("ym"), month_index(day).alias("mi"), F.col("o_totalprice").cast("double").alias("v"))
-    return rows.groupBy("series", "ym", "mi").agg(F.avg("v").alias("value"))
+    return rows.groupBy("series", "ym", "mi").agg(F.avg("v").alias("value"), F.sum(F.round(F.col("v") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
 
 
 def region_months(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,18 +51,22 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.ex
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that functions that
     tasks run can be imported there wherever the driver was started. Batches to Python tasks
-    are kept small in rows and bytes, as a row may be a very long text."""
+    are kept small in rows and bytes, as a row may be a very long text; that setting stays, as
+    queries that are returned run later."""
     import os
-    import tempfile
     import zipfile
 
+    from pyspark import SparkFiles
+
     for key, most in BATCHES.items():
         spark.conf.set(key, most)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "hearthline.zip")
+    folder = os.path.join(SparkFiles.getRootDirectory(), f"source-{uuid.uuid4().hex}")  # goes when the session ends
+    os.makedirs(folder)
+    path = os.path.join(folder, "hearthline.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(os.path.join(top, "hearthline")):
             for name in names:

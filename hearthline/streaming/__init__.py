@@ -1 +1 @@
-"""streaming"""
+"""Streaming forms of queries over growing tables."""
