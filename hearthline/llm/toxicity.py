@@ -7,11 +7,15 @@ earlier one can be trusted. The last category, `toxic`, is flagged from a thresh
 calibrated on the out-of-fold probabilities of all labelled rows; the models themselves learn from
 a bounded number of rows of each class.
 
-Labels give only `toxic`. The categories before it are that label together with a seed word of
-the category, so they are weak labels; documents without a seed are left to the last model.
+The categories: two kinds of toxic texts, told apart by clustering the toxic rows' features, as
+labels don't name kinds; and toxic, which the labels give. (The labels' quality as a category before
+these was tried; it made the last link no better.)
 
 Rows: a text that is null or has no words has probabilities from the intercepts alone. Without
-labels of both kinds nothing is flagged and probabilities are 0. Columns of the input are kept.
+labels of both kinds nothing is flagged and probabilities are 0. Of rows that repeat a doc_id one
+text is learned from, the first in order, and each is scored; of repeated labels the worst counts;
+equal texts get equal scores. Columns of the input are kept; p_<category> and toxic replace
+columns of these names.
 """
 
 from __future__ import annotations
@@ -26,12 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from hearthline.llm.memory import released
 
-CATEGORIES = ["insult", "contempt", "toxic"]
-#: Fixed seed words of the weakly labelled categories.
-SEEDS = {
-    "insult": ["idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"],
-    "contempt": ["pathetic", "worthless", "disgusting", "scum", "trash", "garbage", "filth"],
-}
+CATEGORIES = ["kind_a", "kind_b", "toxic"]
 BITS = 20
 FOLDS = 3
 EVIDENCE = 4.5  # standard deviations from chance at which a slot may carry a weight
@@ -79,6 +78,7 @@ class Chain:
     links: list[Link] = field(default_factory=list)
     threshold: float = 2.0
     folds: list["Chain"] = field(default_factory=list)  # what did not see the rows of each fold
+    scores: np.ndarray | None = None  # out-of-fold probabilities of the rows that were learned from
 
 
 def _sigmoid(x):
@@ -103,7 +103,7 @@ def fit_link(cols: np.ndarray, rows: np.ndarray, n: int, before: np.ndarray, y:
     cols, rows = place[cols[use]], rows[use]
     w, b, v = np.zeros(len(kept)), 0.0, np.zeros(before.shape[1])
     sw, sb, sv = np.full(len(w), 1e-8), 1e-8, np.full(len(v), 1e-8)
-    balance = np.where(y == 1, n / (2 * max(y.sum(), 1)), n / (2 * max((1 - y).sum(), 1)))
+    balance = np.sqrt(np.where(y == 1, n / (2 * max(y.sum(), 1)), n / (2 * max((1 - y).sum(), 1))))  # half way to even classes
     for _ in range(rounds):
         error = (_sigmoid(np.bincount(rows, w[cols], minlength=n) + before @ v + b) - y) * balance
         gw = np.bincount(cols, error[rows], minlength=len(w)) + l2 * w
@@ -121,18 +121,42 @@ def _apply(link: Link, cols, rows, n, before) -> np.ndarray:
     return _sigmoid(np.bincount(rows, link.weights[cols], minlength=n) + before @ link.before + link.intercept)
 
 
-def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray) -> Chain:
+def kinds(cols: np.ndarray, rows: np.ndarray, toxic: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """0 or 1 for each row: which of two clusters its features are nearer to. The clusters are those
+    of the toxic rows over slots that speak for toxic, by cosine, started from the two rows that
+    are farthest from all and from each other."""
+    n, rate = len(toxic), toxic.mean()
+    seen, hit = np.bincount(cols, minlength=1 << BITS), np.bincount(cols, toxic[rows].astype(float), minlength=1 << BITS)
+    kept = np.flatnonzero(hit - seen * rate > EVIDENCE * np.sqrt(seen * rate * (1 - rate) + 0.5))
+    kept = kept[np.argsort(-hit[kept], kind="stable")[:512]]
+    place = np.full(1 << BITS, -1)
+    place[kept] = np.arange(len(kept))
+    use = place[cols] >= 0
+    table = np.zeros((n, max(len(kept), 1)), np.float32)
+    table[rows[use], place[cols[use]]] = 1
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    own = table[toxic == 1]
+    first = int((own @ own.mean(0)).argmin())
+    centres = np.stack([own[first], own[int((own @ own[first]).argmin())]])
+    for _ in range(rounds):
+        near = (own @ centres.T).argmax(1)
+        centres = np.stack([own[near == k].mean(0) if (near == k).any() else centres[k] for k in (0, 1)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return (table @ centres.T).argmax(1)
+
+
+def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray, chained: bool = True) -> Chain:
+    """Without `chained` the last link alone, to compare."""
     slots = _Slots()
     found = [features(x, slots) for x in texts]
     n = len(found)
     cols, rows = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in found])
-    seeds = {c: re.compile(r"\b(" + "|".join(SEEDS[c]) + r")\b", re.IGNORECASE) for c in SEEDS}
+    kind = kinds(cols, rows, toxic)
+    truth = {"kind_a": toxic * (kind == 0), "kind_b": toxic * (kind == 1), "toxic": toxic}
     before = np.zeros((n, 0))
     chain = Chain(folds=[Chain() for _ in range(FOLDS)])
-    for category in CATEGORIES:
-        y = toxic.astype(float)
-        if category in seeds:
-            y = y * np.array([bool(x and seeds[category].search(x)) for x in texts])
+    for category in CATEGORIES if chained else CATEGORIES[-1:]:
+        y = truth[category].astype(float)
         out = np.zeros(n)
         for fold in range(FOLDS):
             inside = folds == fold
@@ -147,15 +171,17 @@ def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray) -
         before = np.column_stack([before, _logit(out)])
     order = np.argsort(-out, kind="stable")
     chain.threshold = best_threshold(out[order], toxic[order], 1 - toxic[order])
+    chain.scores = out
     return chain
 
 
 def best_threshold(p: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
-    """The threshold with the best F1, in the middle of the gap below it. p: falling
-    probabilities, with the number of rows of each class that have them."""
+    """The threshold with the best F score that weighs precision twice as much as recall, as clean
+    documents are to be left alone; in the middle of the gap below it. p: falling probabilities,
+    with the number of rows of each class that have them."""
     hits = np.cumsum(toxic)
-    f1 = 2 * hits / (hits + np.cumsum(clean) + max(toxic.sum(), 1))
-    k = int(np.argmax(f1))
+    score = 1.25 * hits / (hits + np.cumsum(clean) + 0.25 * max(toxic.sum(), 1))
+    k = int(np.argmax(score))
     low = p[k + 1] if k + 1 < len(p) else 0.0
     return float((p[k] + low) / 2)
 
@@ -183,7 +209,7 @@ def calibrate(docs: DataFrame, known: DataFrame, folds: list[Chain]) -> float:
     rows = docs.select("doc_id", "text")
     if few:  # beyond that all texts are scored and only scores are joined
         rows = rows.join(F.broadcast(known.select("doc_id")), "doc_id")
-    rows = rows.select("doc_id", "text", F.expr(f"pmod(xxhash64(text), {FOLDS})").alias("fold"))
+    rows = rows.select("doc_id", "text", F.expr(f"coalesce(pmod(xxhash64(text), {FOLDS}), 0)").alias("fold"))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("bin", T.LongType())])
     scored = rows.mapInArrow(_score_folds(docs.sparkSession.sparkContext.broadcast(folds)), schema)
     scored = scored.join(F.broadcast(known) if few else known, "doc_id")
@@ -202,15 +228,13 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         return Chain()
     share = F.when(F.col("toxic") == 1, F.lit(rows_per_class / counts[1])).otherwise(F.lit(rows_per_class / counts[0]))
     chosen = known.where(F.expr("pmod(xxhash64(doc_id), 1000000)") < share * 1_000_000)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.expr(f"pmod(xxhash64(text), {FOLDS})").alias("fold"))
-    texts, toxic, folds = [], [], []
-    for r in rows.toLocalIterator():  # as many rows as the bound says
-        texts.append(r["text"])
-        toxic.append(r["toxic"])
-        folds.append(r["fold"])
-    if len(set(toxic)) < 2:
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = rows.orderBy("doc_id").select("text", "toxic", F.expr(f"coalesce(pmod(xxhash64(text), {FOLDS}), 0)").alias("fold"))
+    found = [(r["text"], r["toxic"], r["fold"]) for r in rows.toLocalIterator()]  # as many rows as the bound says
+    if len({x[1] for x in found}) < 2:
         return Chain()
-    chain = train_chain(texts, np.array(toxic), np.array(folds))
+    texts, toxic, folds = zip(*found, strict=True)
+    chain = train_chain(list(texts), np.array(toxic), np.array(folds))
     return Chain(chain.links, calibrate(docs, known, chain.folds))
 
 

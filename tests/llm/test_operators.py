@@ -285,6 +285,22 @@ def test_toxic_documents_are_flagged_and_clean_ones_are_not(spark):
     assert (flagged.toxic == 1).mean() >= 0.95 and (got[got.toxic == 1].toxic_p).mean() >= 0.5
 
 
+def test_chain_is_no_worse_than_its_last_link_alone():
+    table = "/root/testdata/sf0.1"
+    labels = pd.read_parquet(f"{table}/labels.parquet").groupby("doc_id").agg({"toxic": "max"})
+    docs = pd.read_parquet(f"{table}/documents.parquet", columns=["doc_id", "text"]).set_index("doc_id").join(labels, how="inner").iloc[:3000]
+    toxic = docs.toxic.to_numpy()
+    args = [None if pd.isna(t) else t for t in docs.text], toxic, np.arange(len(docs)) % 3
+
+    def f1(chain):
+        flag = chain.scores >= chain.threshold
+        return 2 * (flag & (toxic == 1)).sum() / (flag.sum() + toxic.sum())
+
+    both, alone = f1(toxicity.train_chain(*args)), f1(toxicity.train_chain(*args, chained=False))
+    print("F1 of the chain and of its last link alone:", both, alone)
+    assert both > alone and both > 0.9
+
+
 def test_threshold_is_set_at_the_prevalence_of_all_labelled_rows(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = []
