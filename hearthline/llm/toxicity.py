@@ -20,14 +20,15 @@ columns of these names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from hearthline.llm import hashing
 from hearthline.llm.memory import released
 
 CATEGORIES = ["kind_a", "kind_b", "toxic"]
@@ -37,8 +38,9 @@ EVIDENCE = 4.5  # standard deviations from chance at which a slot may carry a we
 ROWS_PER_CLASS = 4_000  # labelled rows that the chain learns from
 BROADCAST_ROWS = 1_000_000  # labelled doc_ids; beyond that they are joined by a shuffle
 BINS = 100_000  # of the histogram of probabilities that sets the threshold
-CACHED_WORDS = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+CACHED_WORDS = 200_000
+NO_WORD = r"[^\pL]+"
+SLICE = 1 << 21  # bytes of text that are looked at together, at least one text
 
 
 def _slot(s: str) -> int:
@@ -50,20 +52,33 @@ def _slot(s: str) -> int:
 
 
 class _Slots(dict):
-    """word: the slots of the word and of its beginnings of 4 and 5 letters."""
+    """word: the slots of the word and of its beginnings of 4 and 5 letters; -1: no such slot."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = {_slot("=" + word)} | {_slot(f"{n}{word[:n]}") for n in (4, 5) if len(word) >= n}
-        self[word] = out = tuple(found)
+    def __missing__(self, word: str) -> tuple[int, int, int]:
+        self[word] = out = (_slot("=" + word), *(_slot(f"{n}{word[:n]}") if len(word) >= n else -1 for n in (4, 5)))
         return out
 
 
-def features(text: str | None, slots: _Slots) -> np.ndarray:
-    """The distinct slots of a whole text."""
-    if len(slots) > CACHED_WORDS:
-        slots.clear()
-    words = set(WORD.findall((text or "").lower()))
-    return np.unique(np.fromiter((x for w in words for x in slots[w]), np.int64))
+def features(texts: pa.Array, slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, text numbers): the distinct slots of each whole text, by text."""
+    cols, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for offset, part in hashing.slices(texts, SLICE):
+        split = pc.split_pattern_regex(pc.utf8_lower(part), NO_WORD)
+        text, words = np.asarray(pc.list_parent_indices(split)), pc.list_flatten(split)
+        full = np.asarray(pc.not_equal(words, ""), bool)
+        coded = words.filter(pa.array(full)).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if not names:
+            continue
+        if len(slots) > CACHED_WORDS:
+            slots.clear()
+        of = np.array([slots[w] for w in names], np.int64)
+        pairs = np.unique(text[full].astype(np.int64) * len(names) + np.asarray(coded.indices))
+        text, found = np.repeat(pairs // len(names), 3), of[pairs % len(names)].ravel()
+        pairs = np.unique((text[found >= 0] << BITS) | found[found >= 0])
+        cols.append(pairs & ((1 << BITS) - 1))
+        rows.append((pairs >> BITS) + offset)
+    return np.concatenate(cols), np.concatenate(rows)
 
 
 @dataclass
@@ -148,9 +163,8 @@ def kinds(cols: np.ndarray, rows: np.ndarray, toxic: np.ndarray, rounds: int = 1
 def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray, chained: bool = True) -> Chain:
     """Without `chained` the last link alone, to compare."""
     slots = _Slots()
-    found = [features(x, slots) for x in texts]
-    n = len(found)
-    cols, rows = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in found])
+    n = len(texts)
+    cols, rows = features(pa.array(texts, pa.large_string()), slots)
     kind = kinds(cols, rows, toxic)
     truth = {"kind_a": toxic * (kind == 0), "kind_b": toxic * (kind == 1), "toxic": toxic}
     before = np.zeros((n, 0))
@@ -192,12 +206,11 @@ def _score_folds(shared):
         chains: list[Chain] = shared.value
         slots = _Slots()
         for batch in batches:
-            fold, p = np.array(batch.column("fold").to_pylist(), int), np.zeros(batch.num_rows)
-            found = [features(x.as_py(), slots) for x in batch.column("text")]
+            fold, p = np.asarray(batch.column("fold")).astype(int), np.zeros(batch.num_rows)
+            cols, rows = features(batch.column("text"), slots)
             for f, chain in enumerate(chains):
-                at = np.flatnonzero(fold == f)
-                if len(at):
-                    p[at] = _chained(chain, [found[k] for k in at])[-1]
+                own = fold[rows] == f
+                p = np.where(fold == f, _chained(chain, cols[own], rows[own], len(p))[-1], p)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.rint(p * BINS).astype(np.int64))], names=["doc_id", "bin"])
 
     return run
@@ -238,10 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     return Chain(chain.links, calibrate(docs, known, chain.folds))
 
 
-def _chained(chain: Chain, found: list[np.ndarray]) -> list[np.ndarray]:
-    """The probabilities of each category."""
-    n = len(found)
-    cols, rows = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in found])
+def _chained(chain: Chain, cols: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """The probabilities of each category for n texts."""
     before, outs = np.zeros((n, 0)), []
     for link in chain.links:
         outs.append(_apply(link, cols, rows, n, before))
@@ -255,8 +266,8 @@ def _predict(shared, text_at: int):
         chain: Chain = shared.value
         slots = _Slots()
         for batch in batches:
-            found = [features(x.as_py(), slots) for x in batch.column(text_at)]
-            outs = _chained(chain, found) or [np.zeros(len(found))] * len(CATEGORIES)
+            cols, rows = features(batch.column(text_at), slots)
+            outs = _chained(chain, cols, rows, batch.num_rows) or [np.zeros(batch.num_rows)] * len(CATEGORIES)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(x) for x in outs), pa.array(outs[-1] >= chain.threshold)],
                 names=[*batch.schema.names, *(f"p_{c}" for c in CATEGORIES), "toxic"],
