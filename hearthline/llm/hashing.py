@@ -117,6 +117,16 @@ def words(texts: pa.Array, fold: bool = False) -> Words:
     return Words(data, starts, ends, text, np.searchsorted(starts, offsets))
 
 
+def strings(texts: pa.Array, family: int = 0) -> np.ndarray:
+    """The hash of each whole string of an array without nulls."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.zeros(int(offsets[-1] - offsets[0]) + 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return _hash(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0], family)
+
+
 def runs(hashes: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """The hash of each run of `size` consecutive words, by its first word, from the words' hashes
     of the same family. Runs may cross texts: the caller drops those."""

@@ -38,28 +38,27 @@ EVIDENCE = 4.5  # standard deviations from chance at which a slot may carry a we
 ROWS_PER_CLASS = 4_000  # labelled rows that the chain learns from
 BROADCAST_ROWS = 1_000_000  # labelled doc_ids; beyond that they are joined by a shuffle
 BINS = 100_000  # of the histogram of probabilities that sets the threshold
-CACHED_WORDS = 200_000
 NO_WORD = r"[^\pL]+"
 SLICE = 1 << 21  # bytes of text that are looked at together, at least one text
 
 
-def _slot(s: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in s.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> 29
-    return (h * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-class _Slots(dict):
-    """word: the slots of the word and of its beginnings of 4 and 5 letters; -1: no such slot."""
+def word_slots(words: pa.Array) -> np.ndarray:
+    """words x 3: the slots of each word and of its beginnings of 4 and 5 letters; -1: the word is
+    shorter than that."""
+    out = [(hashing.strings(words) >> np.uint64(64 - BITS)).astype(np.int64)]
+    long = np.asarray(pc.utf8_length(words))
+    for n in (4, 5):
+        start = hashing.mix(hashing.strings(pc.utf8_slice_codeunits(words, 0, n)) ^ np.uint64(n))
+        out.append(np.where(long >= n, (start >> np.uint64(64 - BITS)).astype(np.int64), -1))
+    return np.stack(out, 1)
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
-        self[word] = out = (_slot("=" + word), *(_slot(f"{n}{word[:n]}") if len(word) >= n else -1 for n in (4, 5)))
-        return out
 
-
-def features(texts: pa.Array, slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(slots, text numbers): the distinct slots of each whole text, by text."""
     cols, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for offset, part in hashing.slices(texts, SLICE):
@@ -67,15 +66,12 @@ def features(texts: pa.Array, slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
         text, words = np.asarray(pc.list_parent_indices(split)), pc.list_flatten(split)
         full = np.asarray(pc.not_equal(words, ""), bool)
         coded = words.filter(pa.array(full)).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if not names:
+        n = len(coded.dictionary)
+        if not n:
             continue
-        if len(slots) > CACHED_WORDS:
-            slots.clear()
-        of = np.array([slots[w] for w in names], np.int64)
-        pairs = np.unique(text[full].astype(np.int64) * len(names) + np.asarray(coded.indices))
-        text, found = np.repeat(pairs // len(names), 3), of[pairs % len(names)].ravel()
-        pairs = np.unique((text[found >= 0] << BITS) | found[found >= 0])
+        pairs = _distinct(text[full].astype(np.int64) * n + np.asarray(coded.indices))
+        text, found = np.repeat(pairs // n, 3), word_slots(coded.dictionary)[pairs % n].ravel()
+        pairs = _distinct((text[found >= 0] << BITS) | found[found >= 0])
         cols.append(pairs & ((1 << BITS) - 1))
         rows.append((pairs >> BITS) + offset)
     return np.concatenate(cols), np.concatenate(rows)
@@ -162,9 +158,8 @@ def kinds(cols: np.ndarray, rows: np.ndarray, toxic: np.ndarray, rounds: int = 1
 
 def train_chain(texts: list[str | None], toxic: np.ndarray, folds: np.ndarray, chained: bool = True) -> Chain:
     """Without `chained` the last link alone, to compare."""
-    slots = _Slots()
     n = len(texts)
-    cols, rows = features(pa.array(texts, pa.large_string()), slots)
+    cols, rows = features(pa.array(texts, pa.large_string()))
     kind = kinds(cols, rows, toxic)
     truth = {"kind_a": toxic * (kind == 0), "kind_b": toxic * (kind == 1), "toxic": toxic}
     before = np.zeros((n, 0))
@@ -204,10 +199,9 @@ def _score_folds(shared):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains: list[Chain] = shared.value
-        slots = _Slots()
         for batch in batches:
             fold, p = np.asarray(batch.column("fold")).astype(int), np.zeros(batch.num_rows)
-            cols, rows = features(batch.column("text"), slots)
+            cols, rows = features(batch.column("text"))
             for f, chain in enumerate(chains):
                 own = fold[rows] == f
                 p = np.where(fold == f, _chained(chain, cols[own], rows[own], len(p))[-1], p)
@@ -264,9 +258,8 @@ def _predict(shared, text_at: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = shared.value
-        slots = _Slots()
         for batch in batches:
-            cols, rows = features(batch.column(text_at), slots)
+            cols, rows = features(batch.column(text_at))
             outs = _chained(chain, cols, rows, batch.num_rows) or [np.zeros(batch.num_rows)] * len(CATEGORIES)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(x) for x in outs), pa.array(outs[-1] >= chain.threshold)],
