@@ -222,7 +222,7 @@ def _cut(size: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column("text").to_pylist(), batch.column("places")
+            texts, places = batch.column("row").field("text").to_pylist(), batch.column("places")
             total, removed, kept = [], [], []
             for k, text in enumerate(texts):
                 found = (text or "").encode().split()
@@ -252,7 +252,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, **sketch) -> DataFrame:
     docs = docs.drop("n_words", "n_removed", "kept_text")
     runs = repeated_windows(docs, size, **sketch).select("doc_id", "tag", (F.col("pos") * RUN + F.col("n")).alias("run"))
     places = runs.groupBy("doc_id", "tag").agg(F.collect_list("run").alias("places"))
-    keyed = docs.select(whole_row(docs), "doc_id", "text", F.crc32("text").alias("tag"))
-    joined = keyed.join(places.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("row", "text", "places")
+    keyed = docs.select(whole_row(docs), "doc_id", F.crc32("text").alias("tag"))
+    joined = keyed.join(places.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("row", "places")
     schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(_cut(size), schema).select("row.*", "n_words", "n_removed", "kept_text")
