@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.llm import decontaminate, html_extract, langid, ngram_join, packing, pii, secret_scan, substring_dedup, topk_search, toxicity
-from hearthline.storage import ship
+from hearthline.llm import conversation_repair, decontaminate, html_extract, langid, ngram_join, packing, pii, secret_scan, substring_dedup, topk_search, toxicity
+from hearthline.storage import ship, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    worn = conversation_repair.damage(rows)
+    found = written(conversation_repair.audits(worn), "audits")
+    hashes = conversation_repair.digest(conversation_repair.replay(worn, found))
+    whole = conversation_repair.report(rows, found).join(hashes, "conv", "left")
+    return whole.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))).drop("conv")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_decontaminate, op4_substring_dedup, op5_secret_scan, op6_html_extract, op7_packing, op8_pii, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_decontaminate, op4_substring_dedup, op5_secret_scan, op6_html_extract, op7_packing, op8_pii, op9_toxicity, op10_ngram_join, op13_conversation_repair)}
 
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
