@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.llm import conversation_repair, decontaminate, html_extract, langid, ngram_join, packing, pii, secret_scan, substring_dedup, topk_search, toxicity
+from hearthline.llm import conversation_repair, decontaminate, html_extract, langid, license_rules, license_scan, ngram_join, packing, pii, secret_scan, substring_dedup, topk_search, toxicity, vector_codes
 from hearthline.storage import ship, written
 
 
@@ -59,6 +59,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     worn = conversation_repair.damage(rows)
@@ -69,7 +77,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_decontaminate, op4_substring_dedup, op5_secret_scan, op6_html_extract, op7_packing, op8_pii, op9_toxicity, op10_ngram_join, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_decontaminate, op4_substring_dedup, op5_secret_scan, op6_html_extract, op7_packing, op8_pii, op9_toxicity, op10_ngram_join, op11_license_scan, op12_vector_codes, op13_conversation_repair)}
 
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -142,5 +150,99 @@ g AS (
 """
 
 
+def _op11() -> str:
+    """Every keyword's occurrence with each of its rules, and intervals without one that contains them."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({k}, {quoted(r.keyword)}, {quoted(r.pattern)}, {r.priority}, {quoted(r.label)}, {license_rules.SCORES[r.priority]})" for k, r in enumerate(license_rules.rules()))
+    reach, spaces = license_rules.REACH, "length({0}) - length(replace({0}, ' ', ''))"
+    phrases = " UNION ALL ".join(
+        f"SELECT r, {quoted(label)} AS label, unnest(list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {quoted(x)}' for k, x in enumerate(phrase))})) AS start FROM d" for label, phrase in license_scan.PHRASES
+    )
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), rules(o, keyword, pattern, priority, label, score) AS MATERIALIZED (VALUES {rules}),
+keys AS MATERIALIZED (SELECT r, word AS keyword, k FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM d) WHERE word IN (SELECT keyword FROM rules)),
+near AS MATERIALIZED (
+  SELECT r, keyword, k, ' ' || array_to_string(w[greatest(k - {reach}, 0) + 1 : k], ' ') || CASE WHEN k > 0 THEN ' ' ELSE '' END || chr(1) || keyword || ' ' || array_to_string(w[k + 2 : k + {reach} + 1], ' ') || ' ' AS t FROM keys JOIN d USING (r)
+), hits AS MATERIALIZED (
+  SELECT r, o, label, priority, score, s, s + ({spaces.format("m")}) + 1 AS e FROM (SELECT *, k - ({spaces.format("string_split(m, chr(1))[1]")}) AS s FROM (SELECT *, regexp_extract(t, pattern, 1) AS m FROM near JOIN rules USING (keyword)) WHERE m <> '')
+), kept AS (
+  SELECT * FROM hits x WHERE NOT EXISTS (
+    SELECT 1 FROM hits y WHERE y.r = x.r AND y.s <= x.s AND y.e >= x.e AND y.priority <= x.priority AND (y.e - y.s > x.e - x.s OR (y.priority, y.o) < (x.priority, x.o)))
+), places AS MATERIALIZED ({phrases}),
+b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT r, label, score FROM kept UNION ALL SELECT r, label, {license_rules.SCORES[license_rules.NAME]} FROM places) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r)
+"""
+
+
+def _op12() -> str:
+    """Rounds of assignment to the nearest of all entries and of means, one after another."""
+    distance = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assigned = f"SELECT r, part, (min({{'d': CAST({distance} AS BIGINT), 'e': entry}})).e AS entry, min(CAST({distance} AS BIGINT)) AS d FROM parts p JOIN BOOK c USING (part) GROUP BY 1, 2"
+    rounds = "".join(f""",
+a{k} AS MATERIALIZED ({assigned.replace('BOOK', f'c{k}')}),
+s{k} AS (SELECT part, entry, k, sum(x[k]) AS s, count(*) AS n FROM (SELECT part, a{k}.entry, x, unnest(range(1, len(x) + 1)) AS k FROM parts JOIN a{k} USING (r, part)) GROUP BY 1, 2, 3),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, x) AS x FROM c{k} LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS m FROM s{k} GROUP BY 1, 2) USING (part, entry))""" for k in range(vector_codes.ROUNDS))
+    last = f"c{vector_codes.ROUNDS}"
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+), parts AS MATERIALIZED (SELECT r, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x FROM v, (SELECT unnest(range(0, 8)) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM parts WHERE r <= 16){rounds},
+f AS MATERIALIZED ({assigned.replace('BOOK', last)}),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM {last}),
+g AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN g USING (r), h
+"""
+
+
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))"
+
+OP13 = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")}, 4294967295) % 20 AS kind FROM conversations
+), worn AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE kind <> 0
+), seen AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    lead(role[1:1]) OVER w AS next FROM worn WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), known AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, k, role[1:1] AS i, role[1:1] || next AS pair, CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM seen
+), ends AS (SELECT conv_id, max(k) AS n FROM known GROUP BY 1),
+moves AS (  -- from the role that stands last, by inserts and perhaps a row's edit, to another
+  SELECT * FROM (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')) t(last, after, name)
+), inserts AS (
+  SELECT last, last AS mid, 0 AS c, '' AS e, CAST([] AS VARCHAR[]) AS t FROM moves
+  UNION ALL SELECT last, after, 3, 'I', [name || ':'] FROM moves
+  UNION ALL SELECT a.last, b.after, 6, 'II', [a.name || ':', b.name || ':'] FROM moves a JOIN moves b ON a.after = b.last
+), best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, '' AS last, {{'c': CAST(0 AS BIGINT), 'e': '', 't': CAST([] AS VARCHAR[])}} AS w FROM ends
+  UNION ALL
+  SELECT conv_id, k, last, min(w) FROM (
+    SELECT r.conv_id, r.k, o.after AS last, {{'c': b.w.c + n.c + o.c, 'e': b.w.e || n.e || o.e, 't': b.w.t || n.t || o.t}} AS w
+    FROM best b JOIN known r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.k = b.k + 1 JOIN inserts n ON n.last = b.last JOIN moves m ON m.last = n.mid,
+      LATERAL (
+        SELECT n.mid AS after, 4 AS c, 'D' AS e, CAST([] AS VARCHAR[]) AS t
+        UNION ALL SELECT m.after, 3 + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'R', [m.name || ':' || r.text] WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+        UNION ALL SELECT r.i, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', [r.role || ':' || r.text] WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate') AND (r.i = m.after OR (r.i = 's' AND n.mid = ''))
+      ) o
+  ) GROUP BY conv_id, k, last
+), whole AS (
+  SELECT b.conv_id, min({{'c': b.w.c + n.c, 'e': b.w.e || n.e, 't': b.w.t || n.t}}) AS w FROM best b JOIN ends ON ends.conv_id IS NOT DISTINCT FROM b.conv_id AND ends.n = b.k JOIN inserts n ON n.last = b.last WHERE n.mid IN ('', 'a') GROUP BY 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM known GROUP BY 1
+)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.e, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN whole x ON x.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN counts y ON y.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2, "op4_substring_dedup": OP4, "op5_secret_scan": _op5(), "op10_ngram_join": OP10}
+    return {"op2_exact_topk": OP2, "op4_substring_dedup": OP4, "op5_secret_scan": _op5(), "op10_ngram_join": OP10, "op11_license_scan": _op11(), "op12_vector_codes": _op12(), "op13_conversation_repair": OP13}
