@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -36,7 +37,7 @@ def same(spark, duck):
     """Whether a query gives the rows of its SQL, columns and rows in any order."""
 
     def key(x):
-        if x is None or x != x:
+        if x is None or pd.isna(x):
             return "null"
         return f"{float(x):.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
