@@ -146,6 +146,6 @@ def rules() -> list[Rule]:
     """All rules, strongest first; of equal rules the first counts."""
     names = _names()
     tags = dict.fromkeys(label for label, _ in names)
-    tagged = [_rule(label, SPDX, "spdx licen[cs]e identifier @" + re.sub("[-.]", " ", label) + "(?: only| or later)?") for label in tags]
+    tagged = [_rule(label, SPDX, "spdx licen[cs]e @identifier " + re.sub("[-.]", " ", label) + "(?: only| or later)?") for label in tags]
     texts = [_rule(label, TEXT, body) for label, body in TEXTS]
     return [*tagged, *texts, *(_rule(label, GRANT, GIVEN + body) for label, body in names), *(_rule(label, NAME, body) for label, body in names)]

@@ -16,7 +16,9 @@ empty one. Very long texts are whole; detections are folded in chunks.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,6 +32,7 @@ PHRASES = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl
 LEVELS = range(SPDX, NAME + 1)
 
 PLACES = "array<struct<start:int,label:string>>"
+TABLE = "map<string,array<struct<pattern:string,priority:int,order:int,label:string>>>"
 DETECTIONS = "array<struct<start:int,end:int,label:string,priority:int,score:double>>"
 
 
@@ -40,6 +43,10 @@ def _rules_by_keyword() -> dict[str, list]:
     return out
 
 
+def _words(of: Iterable[str]) -> Column:
+    return F.split(F.lit(" ".join(sorted(of))), " ")
+
+
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -70,9 +77,11 @@ def detections(words: Column) -> Column:
     """What the rules find, before suppression: array<struct<start, rest, priority, order, label>>, by start and
     then the longest first; rest is minus the end."""
     known = _rules_by_keyword()
-    each = [F.lit(word) for word in known]
-    table = F.create_map(*(x for word, own in known.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(order).alias("order"), F.lit(r.label).alias("label")) for order, r in own)))))
-    keys = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda o: F.array_contains(F.array(*each), o["word"]))
+    # one foldable expression each: a plan with a node for every rule would take long to make
+    table = F.from_json(F.lit(json.dumps({word: [{"pattern": r.pattern, "priority": r.priority, "order": order, "label": r.label} for order, r in own] for word, own in known.items()})), TABLE)
+    each = _words(known)
+    own = F.array_intersect(words, each)
+    keys = bound(own, lambda k: F.filter(F.transform(words, lambda x, i: F.when(F.array_contains(k, x), F.struct(i.alias("at"), x.alias("word")))), lambda o: o.isNotNull()))
 
     def span(at: Column, r: Column, match: Column) -> Column:
         start = at - _spaces(F.substring_index(match, MARK, 1))
@@ -112,7 +121,7 @@ def scan(docs: DataFrame) -> DataFrame:
     licenses array<struct<start, end, label, priority, score>> that the rules find; places are words from 0."""
     rough, exact = unused(docs, "words"), unused(docs, "exact")
     text = F.coalesce("text", F.lit(""))
-    keywords = F.array(*(F.lit(k) for k in sorted({*_rules_by_keyword(), *(phrase[-1] for _, phrase in PHRASES)})))
+    keywords = _words({*_rules_by_keyword(), *(phrase[-1] for _, phrase in PHRASES)})
     # lower() may change other letters too, but never what separates words, and misses no keyword
     split = docs.withColumn(rough, F.split(F.lower(text), SEPARATORS, -1))
     blank = lambda k: F.when(F.element_at(rough, k) == "", 1).otherwise(0)
