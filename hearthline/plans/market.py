@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions.scalars import area_band, floor_band
-from hearthline.operators.ranks import quantiles
+from hearthline.operators.ranks import beside_median, quantiles, ranked
 from hearthline.sources.tables import complexes, trades
 
 TRADES = """trades AS (
@@ -30,9 +30,9 @@ def index_of(t: DataFrame) -> DataFrame:
     Cells need three trades; a month with fewer than five carries the last value kept, and the
     first month is always kept; the last month is 1."""
     t = open_market(t)
-    base = t.groupBy("complex_id", "area_key").agg(F.median("ppp").alias("base"), F.count("*").alias("cell")).where("cell >= 3")
-    rel = t.join(base, ["complex_id", "area_key"]).select("deal_ym", (F.col("ppp") / F.col("base")).alias("rel"))
-    months = quantiles(rel, ["deal_ym"], "rel", [0.5]).select("deal_ym", "n", F.col("q")[0].alias("med"))
+    cells = beside_median(t.select("complex_id", "area_key", "deal_ym", "ppp"), ["complex_id", "area_key"], "ppp", "base", "cell").where("cell >= 3")
+    rel = cells.select("deal_ym", (F.col("ppp") / F.col("base")).alias("rel"))
+    months = quantiles(rel, ["deal_ym"], "rel", [0.5], hold=True).select("deal_ym", "n", F.col("q")[0].alias("med"))
     in_order = Window.orderBy("deal_ym")  # one row for each month of the calendar
     kept = F.when((F.col("n") >= 5) | (F.row_number().over(in_order) == 1), F.col("med"))
     carried = months.withColumn("kept", kept).withColumn("level", F.last("kept", ignorenulls=True).over(in_order))
@@ -78,7 +78,7 @@ def area_band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = t.groupBy("band", "complex_id").agg(F.median("ppp").alias("ppp"))
     plain = per.groupBy("band").agg(F.round(F.avg("ppp"), 1).alias("mean"), F.round(F.min("ppp"), 1).alias("low"), F.round(F.max("ppp"), 1).alias("high"))
     at = lambda k: F.round(F.col("q")[k], 1)
-    ranked = quantiles(per, ["band"], "ppp", [0.25, 0.5, 0.75]).select("band", "n", at(1).alias("median"), at(0).alias("p25"), at(2).alias("p75"))
+    ranked = quantiles(per, ["band"], "ppp", [0.25, 0.5, 0.75], hold=True).select("band", "n", at(1).alias("median"), at(0).alias("p25"), at(2).alias("p75"))
     return ranked.join(plain, "band")
 
 
@@ -96,9 +96,9 @@ def floor_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = index_of(trades(spark, sf_dir)).select("deal_ym", "idx")
     adj = F.col("ppp") / F.coalesce(F.when(F.col("idx") != 0, F.col("idx")), F.lit(1.0))
     t = t.join(F.broadcast(months), "deal_ym", "left").withColumn("adj", adj)  # months of a calendar
-    cells = t.groupBy("complex_id", "area_key").agg(F.median("adj").alias("mid"), F.count("*").alias("cell")).where("cell >= 4 and mid > 0")
-    rel = t.join(tops, "complex_id").join(cells, ["complex_id", "area_key"]).select(floor_band(F.col("floor"), F.col("top")).alias("band"), (F.col("adj") / F.col("mid")).alias("rel"))
-    return quantiles(rel, ["band"], "rel", [0.5]).where("n >= 5").select("band", "n", F.round(F.col("q")[0], 4).alias("factor"))
+    cells = beside_median(t, ["complex_id", "area_key"], "adj", "mid", "cell").where("cell >= 4 and mid > 0")
+    rel = cells.join(tops, "complex_id").select(floor_band(F.col("floor"), F.col("top")).alias("band"), (F.col("adj") / F.col("mid")).alias("rel"))
+    return quantiles(rel, ["band"], "rel", [0.5], hold=True).where("n >= 5").select("band", "n", F.round(F.col("q")[0], 4).alias("factor"))
 
 
 _INDEX = """base AS (SELECT complex_id, area_key, quantile_cont(ppp, 0.5) AS base FROM t GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -177,11 +177,10 @@ def district_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = open_market(trades(spark, sf_dir))
     per = t.groupBy("complex_id").agg(F.round(F.avg("ppp"), 4).alias("level"), F.count("*").alias("n")).where("n >= 3")
     known = per.join(complexes(spark, sf_dir).select("complex_id", "sgg"), "complex_id")
-    sorted_levels = F.row_number().over(Window.partitionBy("sgg").orderBy("level", "complex_id")) - 1
-    size = F.count("*").over(Window.partitionBy("sgg"))
-    ranked = known.withColumn("at", sorted_levels).withColumn("size", size)
+    size = known.groupBy("sgg").agg(F.count("*").alias("size"))
+    placed = ranked(known, ["sgg"], ["level", "complex_id"], "at").join(size, "sgg").withColumn("at", F.col("at") - 1)
     pick = lambda q: F.max(F.when(F.col("at") == F.floor(F.col("size") * q), F.col("level")))
-    return ranked.groupBy("sgg").agg(F.count("*").alias("complexes"), F.sum("n").alias("n_trades"), pick(0.5).alias("upper_median"), pick(0.25).alias("low"), pick(0.75).alias("high"))
+    return placed.groupBy("sgg").agg(F.count("*").alias("complexes"), F.sum("n").alias("n_trades"), pick(0.5).alias("upper_median"), pick(0.25).alias("low"), pick(0.75).alias("high"))
 
 
 DISTRICT_GROUPS = f"""WITH {TRADES}, per AS (SELECT complex_id, round(avg(ppp), 4) AS level, count(*) AS n FROM trades WHERE deal_type <> 'direct' GROUP BY 1 HAVING count(*) >= 3),

@@ -216,7 +216,7 @@ SELECT region, round(depth, 6) AS depth, round(mid, 6) AS mid, depth < mid / 2 A
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman's correlation of volume and price over the months of each region, ties at their
     mean rank."""
-    rows = region_months(spark, sf_dir).select("region", F.col("volume").cast("double").alias("a"), F.round("median_price", 2).alias("b"))
+    rows = region_months(spark, sf_dir, True).select("region", F.col("volume").cast("double").alias("a"), F.round("median_price", 2).alias("b"))
     for x in ("a", "b"):
         rank = F.rank().over(Window.partitionBy("region").orderBy(x))
         rows = rows.withColumn(f"r{x}", rank + (F.count("*").over(Window.partitionBy("region", x)) - 1) / 2)
@@ -230,7 +230,7 @@ SELECT region, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM k GROUP BY 1"""
 
 def price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over median price in each region's latest month."""
-    last = region_months(spark, sf_dir).groupBy("region").agg(F.max_by(F.struct("ym", "mean_price", "median_price"), "mi").alias("l"))
+    last = region_months(spark, sf_dir, True).groupBy("region").agg(F.max_by(F.struct("ym", "mean_price", "median_price"), "mi").alias("l"))
     return last.select("region", "l.ym", F.round(F.col("l.mean_price") / F.col("l.median_price"), 6).alias("spread"))
 
 
@@ -240,7 +240,7 @@ PRICE_SPREAD = f"WITH {REGIONS}, b AS (SELECT *, row_number() OVER (PARTITION BY
 def chained_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels cast back from each region's last level by the ratio of its trailing index, and
     their mean over regions by month."""
-    rows = region_months(spark, sf_dir)
+    rows = region_months(spark, sf_dir, True)
     index = full(3, F.avg("mean_price").over(by("region").rowsBetween(-2, 0)), "region")
     rows = rows.withColumn("ix", index).where("ix is not null")
     frame = by("region").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hearthline.operators.ranks import quantiles
+
 #: Fixed value: square metres of one pyeong.
 PYEONG = 3.305785
 
@@ -71,13 +73,17 @@ def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("series", "ym", "mi").agg(F.avg("v").alias("value"), F.sum(F.round(F.col("v") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
 
 
-def region_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region (market segment), ym, mi, volume, mean_price, median_price."""
+def region_months(spark: SparkSession, sf_dir: str, median: bool = False) -> DataFrame:
+    """region (market segment), ym, mi, volume, mean_price, and where asked for median_price."""
     orders = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate").cast("date")
     rows = orders.select(F.col("o_custkey"), F.date_format(day, "yyyy-MM").alias("ym"), month_index(day).alias("mi"), F.col("o_totalprice").cast("double").alias("v"))
     who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("region"))
-    return rows.join(who, "o_custkey").groupBy("region", "ym", "mi").agg(F.count("*").alias("volume"), F.avg("v").alias("mean_price"), F.median("v").alias("median_price"))
+    each = rows.join(who, "o_custkey")
+    per = each.groupBy("region", "ym", "mi").agg(F.count("*").alias("volume"), F.avg("v").alias("mean_price"))
+    if not median:
+        return per
+    return per.join(quantiles(each, ["region", "ym"], "v", [0.5]).select("region", "ym", F.col("q")[0].alias("median_price")), ["region", "ym"])
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

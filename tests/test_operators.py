@@ -155,3 +155,26 @@ def test_stream_of_events_gives_the_rows_of_the_table(spark, tmp_path):
     query.awaitTermination(120)
     want = {(r["kind"], r["start"]): 2 * r["n"] for r in events.by_window(table).collect()}
     assert {(r["kind"], r["start"]): r["n"] for r in spark.table("hours").collect()} == want
+
+
+def test_quantiles_of_large_and_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("big", float(x)) for x in rng.normal(size=30_000).round(3)] + [("tied", float(k % 3 == 0)) for k in range(25_000)] + [("small", float(k)) for k in range(7)] + [(None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    at = [0.0, 0.05, 0.5, 0.66, 0.975, 1.0]
+    want = {g: np.percentile([v for h, v in rows if h == g], [100 * q for q in at]) for g in {g for g, _ in rows}}
+    for accuracy in (10_000, 1_000):
+        monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+        got = {r["g"]: r["q"] for r in ranks.quantiles(df, ["g"], "v", at, hold=accuracy < 10_000).collect()}
+        assert {g: pytest.approx(q, abs=1e-12) for g, q in want.items()} == got
+    assert ranks.quantiles(df, [], "v", at).first()["q"] == pytest.approx(np.percentile([v for _, v in rows], [100 * q for q in at]), abs=1e-12)
+    assert ranks.quantiles(df.limit(0), ["g"], "v", at).count() == 0
+
+
+def test_median_beside_rows(spark):
+    rows = [(k % 4, float((k * 37) % 11)) for k in range(27)]
+    got = ranks.beside_median(spark.createDataFrame(rows, "g long, v double").repartition(3), ["g"], "v", "mid", "n").collect()
+    for r in got:
+        own = [v for g, v in rows if g == r["g"]]
+        assert (r["n"], r["mid"]) == (len(own), np.median(own))
+    assert len(got) == len(rows)
