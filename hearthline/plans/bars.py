@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions.scalars import pct_change, verdict
+from hearthline.operators.recursions import recursions
 from hearthline.operators.ranks import quantiles, ranked
 from hearthline.sources.tables import daily_bars, quotes
 from hearthline.storage import ship
@@ -93,30 +94,39 @@ MONTH_END_CLOSES = f"""WITH {BARS}, m AS (SELECT symbol, strftime(day, '%Y-%m')
 SELECT symbol, ym, round(close, 4) AS close FROM l WHERE ym < last_ym"""
 
 
-def fold_indicators(frame: pd.DataFrame) -> pd.DataFrame:
-    """EMA 12 and 26 with their difference and its EMA 9, and Wilder's RSI 14, of one symbol."""
-    frame = frame.sort_values("day").reset_index(drop=True)
-    close = frame["close"]
-    ema = lambda x, n: x.ewm(span=n, adjust=False, ignore_na=True).mean()  # noqa: E731  seeded with the first value
-    macd = (ema(close, 12) - ema(close, 26)).where(close.index >= 25)
-    change = close.diff()
-    up, down, rsi = 0.0, 0.0, [None] * len(close)
-    for k in range(1, len(close)):
-        gain, loss = max(change[k], 0.0), max(-change[k], 0.0)
-        if k <= 14:
-            up, down = up + gain / 14, down + loss / 14
-        else:
-            up, down = (up * 13 + gain) / 14, (down * 13 + loss) / 14
-        if k >= 14:
-            rsi[k] = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
-    out = pd.DataFrame({"symbol": frame["symbol"], "day": frame["day"].astype(str), "macd": macd.round(6), "signal": ema(macd, 9).round(6), "rsi": pd.Series(rsi, dtype=float).round(6)})
-    return out.astype(object).where(out.notna(), None)
+def fold_indicators(bars: DataFrame) -> DataFrame:
+    """EMA 12 and 26 with their difference and its EMA 9, and Wilder's RSI 14. bars: symbol, day, close.
+
+    All are linear recursions: an average moves by its share of what is new, and begins with the first value."""
+    c, at = F.col, F.col("at")
+    change = c("close") - F.lag("close").over(Window.partitionBy("symbol").orderBy("day"))
+    rows = bars.withColumns({"gain": F.greatest(change, F.lit(0.0)), "loss": F.greatest(-change, F.lit(0.0))})
+
+    def ema(value, n: int, first: int = 0):
+        share = 2 / (n + 1)
+        return F.when(at <= first, 0.0).otherwise(1 - share), F.when(at < first, 0.0).when(at == first, value).otherwise(share * value)
+
+    def wilder(value, n: int):
+        return F.when(at <= n, 1.0).otherwise((n - 1) / n), F.when(at < 1, 0.0).otherwise(value / n)
+
+    first = recursions(rows, ["symbol"], ["day"], {"fast": ema(c("close"), 12), "slow": ema(c("close"), 26), "up": wilder(c("gain"), 14), "down": wilder(c("loss"), 14)})
+    macd = first.drop("at").withColumn("macd", c("fast") - c("slow"))
+    both = recursions(macd, ["symbol"], ["day"], {"signal": ema(c("macd"), 9, 25)})
+    rsi = F.when(at >= 14, F.when(c("down") == 0, 100.0).otherwise(100 - 100 / (1 + c("up") / c("down"))))
+    return both.select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.when(at >= 25, c("macd")), 6).alias("macd"), F.round(F.when(at >= 25, c("signal")), 6).alias("signal"), F.round(rsi, 6).alias("rsi"))
 
 
 def folded_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MACD and RSI by symbol and day. A group is one symbol's days."""
-    ship(spark)
-    return daily_bars(spark, sf_dir).groupBy("symbol").applyInPandas(fold_indicators, "symbol string, day string, macd double, signal double, rsi double")
+    """MACD and RSI by symbol and day."""
+    return fold_indicators(daily_bars(spark, sf_dir))
+
+
+FOLDED_INDICATORS = f"""WITH RECURSIVE {BARS}, x AS (SELECT symbol, day, close, row_number() OVER o - 1 AS k, greatest(close - lag(close) OVER o, 0) AS gain, greatest(lag(close) OVER o - close, 0) AS loss FROM b WINDOW o AS (PARTITION BY symbol ORDER BY day)),
+f AS (SELECT symbol, day, k, close AS fast, close AS slow, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0.0::DOUBLE AS signal FROM x WHERE k = 0 UNION ALL
+  SELECT symbol, day, k, fast, slow, up, down, CASE WHEN k < 25 THEN 0 WHEN k = 25 THEN fast - slow ELSE was * 0.8::DOUBLE + 0.2::DOUBLE * (fast - slow) END FROM (
+    SELECT x.symbol, x.day, x.k, f.signal AS was, f.fast + 2.0::DOUBLE / 13 * (close - f.fast) AS fast, f.slow + 2.0::DOUBLE / 27 * (close - f.slow) AS slow, f.up * CASE WHEN x.k <= 14 THEN 1 ELSE 13.0::DOUBLE / 14 END + gain / 14 AS up, f.down * CASE WHEN x.k <= 14 THEN 1 ELSE 13.0::DOUBLE / 14 END + loss / 14 AS down
+    FROM f JOIN x ON x.symbol = f.symbol AND x.k = f.k + 1))
+SELECT symbol, strftime(day, '%Y-%m-%d') AS day, round(CASE WHEN k >= 25 THEN fast - slow END, 6) AS macd, round(CASE WHEN k >= 25 THEN signal END, 6) AS signal, round(CASE WHEN k >= 14 THEN CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END END, 6) AS rsi FROM f"""
 
 
 def asking_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +143,4 @@ g AS (SELECT kind, user_id, seen, round((price / mid - 1) * 100, 4) AS gap FROM
 SELECT kind, user_id, seen, gap, CASE WHEN gap <= -10 THEN 'very cheap' WHEN gap <= -3 THEN 'cheap' WHEN gap < 3 THEN 'fair' WHEN gap < 10 THEN 'dear' ELSE 'very dear' END AS verdict, row_number() OVER (PARTITION BY kind ORDER BY gap, user_id) AS rank FROM g"""
 
 QUERIES = {f.__name__: f for f in (bollinger, channel_breakouts, average_crossings, drawdown, forward_returns, month_end_closes, folded_indicators, asking_ranks)}
-SQL = {"bollinger": BOLLINGER, "channel_breakouts": CHANNEL_BREAKOUTS, "average_crossings": AVERAGE_CROSSINGS, "drawdown": DRAWDOWN, "forward_returns": FORWARD_RETURNS, "month_end_closes": MONTH_END_CLOSES, "asking_ranks": ASKING_RANKS}
+SQL = {"bollinger": BOLLINGER, "channel_breakouts": CHANNEL_BREAKOUTS, "average_crossings": AVERAGE_CROSSINGS, "drawdown": DRAWDOWN, "forward_returns": FORWARD_RETURNS, "folded_indicators": FOLDED_INDICATORS, "month_end_closes": MONTH_END_CLOSES, "asking_ranks": ASKING_RANKS}

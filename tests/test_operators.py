@@ -66,6 +66,7 @@ def test_merges(spark):
 
 @pytest.mark.parametrize("text, want", [
     ("매매 8억 5,000", 85000), ("12억 3000 / 전용 84.9㎡ / 15층", 123000), ("매매 9억", 90000), ("9,500만", 9500), ("전세 500만", None), ("매매 13억\n112.9/84.9㎡", 130000), ("3억 84.9㎡", 30000), ("없음", None),
+    ("매매 3억 2,500 ~ 3억 8,000\n84㎡ 5/10층", 32500), ("매매 3억 9,000\n평당가 2,100만원", 39000), ("3,360만원/3.3㎡평당가", None), ("매매 3억\n84㎡ 5/10층\n임대분양가27,000", 30000),
 ])
 def test_prices(spark, text, want):
     assert one(spark, listings.price(F.lit(text))) == want
@@ -73,6 +74,8 @@ def test_prices(spark, text, want):
 
 @pytest.mark.parametrize("text, want", [
     ("아파트88B㎡ (전용59B)8/15층남향", (59.0, 88.0, True)), ("아파트 · 112.9/84.97㎡, 중층", (84.97, 112.9, True)), ("59.94/84.97㎡", (59.94, 84.97, True)), ("84.97㎡", (84.97, None, False)), ("34평/25.7평", (84.96, 112.4, True)), ("30평대", (None, None, False)), ("전용 112.40㎡", (112.4, None, True)),
+    ("아파트17평 (전용12)3/25층남서향", (39.67, 56.2, True)), ("아파트49㎡ (전용36)3/15층", (36.0, 49.0, True)), ("전용14평 5/10층", (46.28, None, True)), ("전용 84㎡ / 15층", (84.0, None, True)), ("34평/25.7평 10/20층", (84.96, 112.4, True)),
+    ("X\n매매 5억\n30평대 고층", (None, None, False)), ("매매 3억 9,000\n평당가 2,100만원\n84㎡ 5/10층", (84.0, None, False)), ("3,360만원/3.3㎡평당가\n84m2", (84.0, None, False)),
 ])
 def test_areas(spark, text, want):
     assert tuple(one(spark, listings.areas(F.lit(text)))) == want
@@ -80,6 +83,7 @@ def test_areas(spark, text, want):
 
 @pytest.mark.parametrize("text, want", [
     ("8/15층남향", (8, 15, None)), ("고/23층", (None, 23, "고층")), ("탑/9층", (None, 9, "최상층")), ("15층", (15, None, None)), ("중층, 남향", (None, None, "중층")), ("탑층", (None, None, "최상층")), ("없음", (None, None, None)),
+    ("84㎡ 고/23층", (None, 23, "고층")), ("84㎡ 5/10층남동향", (5, 10, None)), ("아파트17평 (전용12)3/25층남서향", (3, 25, None)),
 ])
 def test_floors(spark, text, want):
     assert tuple(one(spark, listings.floors(F.lit(text)))) == want
@@ -87,7 +91,7 @@ def test_floors(spark, text, want):
 
 def test_buildings_facings_names_and_tags(spark):
     at = lambda f, *x: [one(spark, f(F.lit(t))) for t in x]
-    assert at(listings.building, "힐스테이트푸르지오수원 103동\n매매", "인계동", "현대 가동", "이름\n12동", "A동 남동향") == ["103", None, "가", None, "A"]
+    assert at(listings.building, "힐스테이트푸르지오수원 103동\n매매", "인계동", "현대 가동", "이름\n12동", "A동 남동향", "X 가동", "X\n5/10층남동향", "현대 104동 3층") == ["103", None, "가", None, "A", "가", None, "104"]
     assert at(listings.facing, "11/12층동향", "메모 정남향", "3층 남서향") == ["동향", None, "남서향"]
     assert at(listings.facing_group, "남서향", "북동", "남향", "") == ["서", "북", "남", None]
     assert at(listings.name_key, "래미안 영통 마크원 제2단지 아파트", "A-B (1차)") == ["래미안영통마크원2단지", "ab1차"]
@@ -115,10 +119,11 @@ def _days(close):
     return pd.DataFrame({"symbol": "x", "day": [f"{k:04}" for k in range(len(close))], "close": close})
 
 
-def test_turns_alternate_and_look_at_no_later_day():
+def test_turns_alternate_and_look_at_no_later_day(spark):
+    turns = lambda days: signals.turns(spark.createDataFrame(days)).orderBy("i").toPandas()
     rng = np.random.default_rng(6)
     close = (100 * np.exp(rng.normal(0, 0.02, 400).cumsum())).tolist()
-    whole = signals.turns(_days(close))
+    whole = turns(_days(close))
     assert len(whole) > 10 and (whole["top"].to_numpy()[1:] != whole["top"].to_numpy()[:-1]).all()
     for r in whole.itertuples():
         back = close[r.seen] / r.value - 1
@@ -126,19 +131,20 @@ def test_turns_alternate_and_look_at_no_later_day():
         own = close[r.i : r.seen + 1]
         assert r.value == (max(own) if r.top else min(own))
     for cut in (50, 200, 333):  # what was known by a day doesn't change afterwards
-        early = signals.turns(_days(close[:cut]))
+        early = turns(_days(close[:cut]))
         assert early.equals(whole[whole["seen"] < cut].reset_index(drop=True))
-    assert signals.turns(_days([1.0] * 9)).empty
+    assert turns(_days([1.0] * 9)).empty
 
 
-def test_chains_are_as_many_as_overlap_at_once():
+def test_chains_are_as_many_as_overlap_at_once(spark):
+    chains = lambda rows: signals.chains(spark.createDataFrame(rows)).orderBy("chain").toPandas()
     rng = np.random.default_rng(7)
     rows = [(1, "k", float(p), int(a), int(a + d)) for p, a, d in zip(rng.integers(9, size=60), rng.integers(0, 90_000, 60), rng.integers(0, 9_000, 60), strict=True)]
-    got = signals.chains(pd.DataFrame(rows, columns=["user_id", "kind", "price", "first_seen", "last_seen"]))
+    got = chains(pd.DataFrame(rows, columns=["user_id", "kind", "price", "first_seen", "last_seen"]))
     at_once = max(sum(a <= t < b + signals.TOGETHER for *_, a, b in rows) for *_, t, _ in rows)
     assert len(got) == at_once and got["seen"].sum() == 60
     apart = pd.DataFrame([(1, "k", 5.0, 0, 10), (1, "k", 4.0, 2000, 2010), (1, "k", 3.0, 2005, 2010)], columns=["user_id", "kind", "price", "first_seen", "last_seen"])
-    assert signals.chains(apart)[["seen", "first_price", "last_price", "unsure"]].values.tolist() == [[2, 5.0, 4.0, False], [1, 3.0, 3.0, False]]
+    assert chains(apart)[["seen", "first_price", "last_price", "unsure"]].values.tolist() == [[2, 5.0, 4.0, False], [1, 3.0, 3.0, False]]
 
 
 def test_stream_of_events_gives_the_rows_of_the_table(spark, tmp_path):
@@ -178,3 +184,18 @@ def test_median_beside_rows(spark):
         own = [v for g, v in rows if g == r["g"]]
         assert (r["n"], r["mid"]) == (len(own), np.median(own))
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_recursions_equal_plain_loops(spark, block):
+    from hearthline.operators.recursions import recursions
+
+    rng = np.random.default_rng(9)
+    rows = [(g, k, float(a), float(b)) for g, n in (("x", 40), ("y", 1), ("z", 7)) for k, (a, b) in enumerate(rng.uniform(-1, 1, (n, 2)))]
+    df = spark.createDataFrame(rows, "g string, k long, a double, b double").repartition(5)
+    got = {(r["g"], r["k"]): (r["at"], r["x"], r["z"]) for r in recursions(df, ["g"], ["k"], {"x": (F.col("a"), F.col("b")), "z": (F.lit(1.0), F.col("at") * 1.0)}, block).collect()}
+    x = z = 0.0
+    for g, k, a, b in rows:
+        x, z = (a * x + b, z + k) if k else (b, 0.0)
+        assert got[g, k] == (k, pytest.approx(x, abs=1e-12), z)
+    assert len(got) == len(rows)

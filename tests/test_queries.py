@@ -1,7 +1,7 @@
+import datetime
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +17,8 @@ def test_rows_are_those_of_the_sql(name, same):
 def test_folds_against_plain_loops(spark):
     rng = np.random.default_rng(3)
     close = (100 + rng.normal(size=80).cumsum()).tolist()
-    got = bars.fold_indicators(pd.DataFrame({"symbol": "x", "day": [f"{k:03}" for k in range(80)], "close": close}))
+    fold = lambda closes: bars.fold_indicators(spark.createDataFrame([("x", datetime.date(2000, 1, 1) + datetime.timedelta(k), float(v)) for k, v in enumerate(closes)], "symbol string, day date, close double")).orderBy("day").toPandas().astype(object)
+    got = fold(close).where(lambda f: f.notna(), None)
 
     def ema(x, n):
         out, last = [], None
@@ -31,7 +32,7 @@ def test_folds_against_plain_loops(spark):
     assert got["macd"].iloc[24] is None and got["macd"].iloc[40] == pytest.approx(macd[40], abs=1e-5)
     assert got["signal"].iloc[60] == pytest.approx(signal[60], abs=1e-5)
     assert got["rsi"].iloc[13] is None and 0 <= got["rsi"].iloc[14] <= 100
-    rising = bars.fold_indicators(pd.DataFrame({"symbol": "x", "day": [f"{k:03}" for k in range(20)], "close": [float(k) for k in range(20)]}))
+    rising = fold(range(20))
     assert rising["rsi"].iloc[19] == 100.0
 
 
