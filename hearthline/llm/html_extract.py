@@ -10,11 +10,16 @@ content. A page's text is that of its content blocks, without what lies in navig
 footer, sidebar, notice, advert, form or comment nodes, which are told by element, role, and
 class or id.
 
+A text is template on evidence only: at least three different pages of the host hold it in its slot,
+and most of those with the slot. Nothing inside an article or main element is template, and nothing is
+dropped from a page of which it would be more than half, both of its blocks and of its text: that
+is how near copies look, and then the text is theirs.
+
 Brothers of one kind in a row (paragraphs, list items) count as one repeated layout node, so a
 wrapper has tens of nodes however long the pages are.
 
-A class, id or role names what a node is by its whole name or its first or last part (`site-footer`,
-but not `no-sidebar`); header words count outside the article only. Such a node, and a form, is
+A class, id or role names what a node is by its whole name, and outside the article by its first or
+last part too (`site-footer`, but not `no-sidebar`, nor an article's `side-effects`); header words count outside the article only. Such a node, and a form, is
 part of the article after all if it holds more than half of the page's text and no article or
 main element lies outside it; one named for comments, only if it holds the page's first heading too.
 
@@ -41,7 +46,8 @@ from hearthline.storage import written
 
 SALTS = 64  # parts of a host's layouts that are merged apart, and of its pages in a shuffled join
 CONSTANT_SHARE = 0.6  # of a host's pages with a slot, the share with one text that makes it template
-CONSTANT_PAGES = 2  # different pages that must hold it
+CONSTANT_PAGES = 3  # different pages that must hold it
+MOST_TEMPLATE = 0.5  # of a page's blocks or text that may be template
 WRAPPER_BYTES = 32 << 20  # of all wrappers together to be broadcast; beyond that they are joined
 DEEPEST = 1_000_000  # calls that alignment may nest, each of them on the heap
 
@@ -182,7 +188,7 @@ class Page:
         tag = self.tags[k]
         if tag == "header":  # a page's header, not an article's
             return not in_article
-        words = {w for name in self.names[k] for w in _named(name)}
+        words = {w for name in self.names[k] for w in ([name] if in_article else _named(name))}
         if words & COMMENT_WORDS and tag not in ("html", "body", "main"):
             return not (most and heading)
         if tag in ("html", "body", "main", "article"):
@@ -490,9 +496,13 @@ def extract(pages: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<long>)")
     places = written(places.join(constant(own, places), "host", "left").withColumn("template", F.coalesce("template", none)), "wrappers")
     found = _with_slots(own, places, "template")
-    kept = F.filter("blocks", lambda b: ~F.array_contains("template", _key(F.col("slots"), b)))
+    kept = F.filter("blocks", lambda b: b["article"] | ~F.array_contains("template", _key(F.col("slots"), b)))
+    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda acc, b: acc + F.length(b["text"]))
     article = F.filter("kept", lambda b: b["article"])
-    out = found.select("row", kept.alias("kept")).select("row", F.transform(F.when(F.exists("kept", lambda b: b["article"]), article).otherwise(F.col("kept")), lambda b: b["text"]).alias("lines"))
+    tried = found.select("row", "blocks", kept.alias("kept"))
+    enough = (size(F.col("kept")) >= (1 - MOST_TEMPLATE) * size(F.col("blocks"))) | (F.size("kept") >= (1 - MOST_TEMPLATE) * F.size("blocks"))
+    own_text = F.when(enough, F.col("kept")).otherwise(F.col("blocks"))
+    out = tried.select("row", own_text.alias("kept")).select("row", F.transform(F.when(F.exists("kept", lambda b: b["article"]), article).otherwise(F.col("kept")), lambda b: b["text"]).alias("lines"))
     return out.select("row.*", F.array_join("lines", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

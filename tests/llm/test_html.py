@@ -26,10 +26,12 @@ def test_main_text_of_pages(spark):
 def test_constant_text_goes_from_hosts_of_few_pages(spark):
     page = lambda k: f"<body><div class='x'>Shop open daily</div><article><p>Own text {k}</p></article><div class='y'>Made with care</div><div class='z'>Extra {k}</div></body>"
     flat = lambda k: f"<body><div class='x'>Shop open daily</div><p>Own text {k}</p></body>"
-    rows = [(k, f"http://two.example/{k}", flat(k)) for k in range(2)] + [(10 + k, f"http://three.example/{k}", page(k)) for k in range(3)] + [(20, "http://one.example/", flat(0)), (21, "http://one.example/copy", flat(0))]
+    rows = [(k, f"http://two.example/{k}", flat(k)) for k in range(2)] + [(30 + k, f"http://flat.example/{k}", flat(k)) for k in range(3)] + [(10 + k, f"http://three.example/{k}", page(k)) for k in range(3)] + [(20, "http://one.example/", flat(0)), (21, "http://one.example/copy", flat(0))]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [got[0], got[1], got[10], got[12]] == ["Own text 0", "Own text 1", "Own text 0", "Own text 2"]
+    assert [got[0], got[1]] == ["Shop open daily\nOwn text 0", "Shop open daily\nOwn text 1"]  # two pages that agree are no evidence
+    assert [got[10], got[12]] == ["Own text 0", "Own text 2"]
     assert got[20] == got[21] == "Shop open daily\nOwn text 0"  # copies tell nothing
+    assert [got[30 + k] for k in range(3)] == [f"Own text {k}" for k in range(3)]
 
 
 def test_wrapper_holds_the_layouts_of_all_pages_however_many_copies(spark):
@@ -123,3 +125,35 @@ def test_shuffled_join_gives_the_same_rows(spark, monkeypatch):
     want = sorted(map(tuple, html_extract.extract(pages).collect()))
     monkeypatch.setattr(html_extract, "WRAPPER_BYTES", 0)
     assert sorted(map(tuple, html_extract.extract(pages).collect())) == want and len(want) == len(pd.read_parquet(f"{DATA}/pages.parquet"))
+
+
+def _pages(spark, bodies):
+    return spark.createDataFrame([(k, f"http://a.example/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def _texts(spark, bodies):
+    return [r["text"] for r in html_extract.extract(_pages(spark, bodies)).orderBy("page_id").collect()]
+
+
+def test_near_copies_keep_their_text(spark):
+    same = "<h1>One title</h1><p>A first paragraph that both pages hold.</p><p>A second one, which is the longest of them all here.</p><p>A third.</p>"
+    whole = "One title\nA first paragraph that both pages hold.\nA second one, which is the longest of them all here.\nA third.\n"
+    for n in (2, 5):
+        assert _texts(spark, [f"{same}<p>Edited {k}.</p>" for k in range(n)]) == [f"{whole}Edited {k}." for k in range(n)]
+        edited = [f"{same}<p>Edited {k}: now the longest paragraph of all on the page, by far and wide.</p>" for k in range(n)]
+        assert _texts(spark, edited) == [f"{whole}Edited {k}: now the longest paragraph of all on the page, by far and wide." for k in range(n)]
+        assert _texts(spark, [f"<article>{b}</article>" for b in edited]) == _texts(spark, edited)
+
+
+def test_unnamed_boilerplate_goes_through_the_wrapper(spark):
+    bodies = [f"<div><p>Our shop, open daily</p></div><div><p>Story {k} tells of {'house ' * (9 + k)}</p><p>and ends {k}.</p></div><div><p>All about us</p></div>" for k in range(4)]
+    assert _texts(spark, bodies) == [f"Story {k} tells of {('house ' * (9 + k)).strip()}\nand ends {k}." for k in range(4)]
+    assert all("Our shop" in t for t in _texts(spark, bodies[:2]))  # two pages are no evidence
+    inside = [f"<article>{b}</article>" for b in bodies]
+    assert all(t.startswith("Our shop, open daily\nStory") for t in _texts(spark, inside))
+
+
+@pytest.mark.parametrize("name", ["notice-of-death", "side-effects", "menu-items", "ad-hoc"])
+def test_compound_names_inside_an_article_are_its_own(name):
+    assert main_text(f'<article><p>First.</p><div class="{name}"><p>Kept.</p></div></article>') == "First.\nKept."
+    assert main_text(f'<article><p>First, and long enough.</p></article><div class="site-footer"><p>Gone.</p></div>') == "First, and long enough."
