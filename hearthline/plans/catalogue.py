@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.plans import bars, effects, filings, formulas, hedonic, loads, lookups, market, outlook, series, signals, supply
+from hearthline.plans import bars, effects, filings, formulas, hedonic, loads, lookups, market, matching, outlook, series, signals, supply
 
 FLAGSHIP = "market_index"
 
@@ -18,8 +18,8 @@ MONTHLY_TRADE_VOLUME = "SELECT strftime(l_shipdate, '%Y-%m') AS ym, count(*) AS
 
 
 def queries() -> dict:
-    return {"monthly_trade_volume": monthly_trade_volume, **market.QUERIES, **series.QUERIES, **bars.QUERIES, **signals.QUERIES, **lookups.QUERIES, **loads.QUERIES, **formulas.QUERIES, **filings.QUERIES, **outlook.QUERIES, **supply.QUERIES, **hedonic.QUERIES, **effects.QUERIES}
+    return {"monthly_trade_volume": monthly_trade_volume, **market.QUERIES, **series.QUERIES, **bars.QUERIES, **signals.QUERIES, **lookups.QUERIES, **loads.QUERIES, **formulas.QUERIES, **filings.QUERIES, **outlook.QUERIES, **supply.QUERIES, **hedonic.QUERIES, **effects.QUERIES, **matching.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"monthly_trade_volume": MONTHLY_TRADE_VOLUME, **market.SQL, **series.SQL, **bars.SQL, **signals.SQL, **lookups.SQL, **loads.SQL, **formulas.SQL, **filings.SQL, **outlook.SQL, **supply.SQL, **hedonic.SQL, **effects.SQL}
+    return {"monthly_trade_volume": MONTHLY_TRADE_VOLUME, **market.SQL, **series.SQL, **bars.SQL, **signals.SQL, **lookups.SQL, **loads.SQL, **formulas.SQL, **filings.SQL, **outlook.SQL, **supply.SQL, **hedonic.SQL, **effects.SQL, **matching.SQL}
