@@ -89,6 +89,14 @@ def interval_score(low: Column, high: Column, y: Column, alpha: float = 0.2) ->
     return high - low + 2 / alpha * miss
 
 
+def normal_p(z: Column) -> Column:
+    """Two-sided tail of the normal distribution, by a series whose terms are all positive; beyond eight it is zero."""
+    x2 = z * z / 2
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), lambda acc, n: F.struct((acc["term"] * 2 * x2 / (2 * n + 1)).alias("term"), (acc["sum"] + acc["term"] * 2 * x2 / (2 * n + 1)).alias("sum")), lambda acc: acc["sum"])
+    inside = F.sqrt(F.lit(2 / 3.141592653589793)) * F.abs(z) * F.exp(-x2) * terms
+    return F.when(F.abs(z) > 8, 0.0).otherwise(F.greatest(1 - inside, F.lit(0.0)))
+
+
 def dcf(cash: Column, growth: Column, rate: Column, terminal: float = 0.025, years: int = 5) -> Column:
     """Value of cash that grows for some years and then for ever; null if rate is within one
     point of the terminal growth."""

@@ -7,15 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hearthline.functions.scalars import interval_score
+from hearthline.functions.scalars import interval_score, normal_p
+from hearthline.operators.recursions import recursions
+from hearthline.plans.bars import BARS
+from hearthline.plans.effects import month_closes
 from hearthline.plans.series import SERIES, by
-from hearthline.sources.tables import monthly_series
+from hearthline.sources.tables import daily_bars, monthly_series, table
 
 #: Months that join rises, months around an event, months of a slope (most, least).
 RISE_GAP, EVENT_SPAN, SLOPE_MONTHS = 12, (-12, 48), (60, 24)
 #: Share outside an interval, returns known before a forecast.
 ALPHA, LEAST_TRAINED = 0.2, 36
 AHEAD = 3  # months ahead of a forecast
+#: What a day keeps of its weight on the next, days that volatility begins with, trading days of a month, months that a rate may be old.
+FADE, WARM, TRADING, STALE = 0.94, 60, 21, 3
 EARNING_YEARS, EARNING_LAG, PULL_BACK = 3, 3, 6
 
 
@@ -142,7 +147,7 @@ WALKED_FORECASTS = f"""WITH {SERIES}, {FORECASTS} SELECT series, mi AS month, mo
 
 def forecast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error, coverage, width and score of the two forecasts, and the t of their squared errors'
-    difference with overlapping months allowed for; negative where the mean is better."""
+    difference with overlapping months allowed for and its p; t is negative where the mean is better."""
     f = forecasts(_monthly(spark, sf_dir), AHEAD)
     c = F.col
     loss = F.pow(c("centre") - c("y"), 2)
@@ -150,7 +155,8 @@ def forecast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.sqrt(F.avg(loss)), 6).alias("rmse"), F.round(F.avg(c("y").between(c("low"), c("high")).cast("double")), 6).alias("coverage"),
         F.round(F.avg(c("high") - c("low")), 6).alias("width"), F.round(F.avg(interval_score(c("low"), c("high"), c("y"), ALPHA)), 6).alias("score"))
     d = f.groupBy("series", "mi").agg(F.sum(F.when(c("model") == "mean", loss).otherwise(-loss)).alias("d"))
-    return own.join(mean_test(d, AHEAD - 1), "series").select("series", "model", "n", "rmse", "coverage", "width", "score", F.round("t", 4).alias("t"))
+    tested = mean_test(d, AHEAD - 1).withColumn("p", F.round(normal_p(F.col("t")), 6))
+    return own.join(tested, "series").select("series", "model", "n", "rmse", "coverage", "width", "score", F.round("t", 4).alias("t"), "p")
 
 
 def mean_test(d: DataFrame, lag: int) -> DataFrame:
@@ -166,7 +172,7 @@ def mean_test(d: DataFrame, lag: int) -> DataFrame:
 FORECAST_SCORES = f"""WITH {SERIES}, {FORECASTS}, d AS (SELECT series, mi, sum(CASE WHEN model = 'mean' THEN 1 ELSE -1 END * pow(centre - y, 2)) AS d FROM f GROUP BY 1, 2),
 v AS (SELECT series, mi, d, d - avg(d) OVER (PARTITION BY series) AS v FROM d), g AS (SELECT series, d, v, v * lag(v, 1) OVER o AS g1, v * lag(v, 2) OVER o AS g2 FROM v WINDOW o AS (PARTITION BY series ORDER BY mi)),
 t AS (SELECT series, avg(d) / sqrt((sum(v * v) + 2 * (2.0::DOUBLE / 3) * sum(g1) + 2 * (1.0::DOUBLE / 3) * sum(g2)) / count(*) / count(*)) AS t FROM g GROUP BY 1)
-SELECT series, model, count(*) AS n, round(sqrt(avg(pow(centre - y, 2))), 6) AS rmse, round(avg(CASE WHEN y BETWEEN low AND high THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(high - low), 6) AS width, round(avg({_SCORE}), 6) AS score, round(any_value(t), 4) AS t FROM f JOIN t USING (series) GROUP BY 1, 2"""
+SELECT series, model, count(*) AS n, round(sqrt(avg(pow(centre - y, 2))), 6) AS rmse, round(avg(CASE WHEN y BETWEEN low AND high THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(high - low), 6) AS width, round(avg({_SCORE}), 6) AS score, round(any_value(t), 4) AS t, round(any_value(greatest(1 - list_sum(list_transform(range(0, 201), lambda n: exp((2 * n + 1) * ln(abs(t) / sqrt(2)) - lgamma(n + 1.5) - t * t / 2))), 0)), 6) AS p FROM f JOIN t USING (series) GROUP BY 1, 2"""
 
 
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,5 +188,73 @@ THINNED = f"""WITH RECURSIVE {SERIES}, h AS (SELECT series, mi FROM (SELECT *, a
 k AS (SELECT series, CAST(1 AS BIGINT) AS place, min(mi) AS month FROM h GROUP BY 1 UNION ALL SELECT * FROM (SELECT k.series, k.place + 1, (SELECT min(h.mi) FROM h WHERE h.series = k.series AND h.mi >= k.month + 12) AS month FROM k) WHERE month IS NOT NULL)
 SELECT * FROM k"""
 
-QUERIES = {"rises": rises, "event_paths": event_paths, "market_slopes": market_slopes, "long_earnings": long_earnings, "years_ahead": years_ahead, "walked_forecasts": walked_forecasts, "forecast_scores": forecast_scores, "thinned": thinned}
-SQL = {"rises": RISES_SQL, "event_paths": EVENT_PATHS, "market_slopes": MARKET_SLOPES, "long_earnings": LONG_EARNINGS, "years_ahead": YEARS_AHEAD, "walked_forecasts": WALKED_FORECASTS, "forecast_scores": FORECAST_SCORES, "thinned": THINNED}
+# ---- forecasts from a riskless rate and from volatility
+
+
+def daily_volatility(bars: DataFrame) -> DataFrame:
+    """symbol, mi, vol: the deviation of daily log returns at each month's end, old days fading by FADE; it begins with
+    the mean of WARM days. bars: symbol, day, close."""
+    c, at = F.col, F.col("at")
+    step = F.log(c("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day")))
+    squares = bars.withColumn("square", step * step).where("square is not null")
+    fade = {"var": (F.when(at < WARM, 1.0).otherwise(FADE), F.when(at < WARM, c("square") / WARM).otherwise((1 - FADE) * c("square")))}
+    known = recursions(squares, ["symbol"], ["day"], fade).where(at >= WARM)
+    return known.groupBy("symbol", (F.year("day") * 12 + F.month("day") - 1).cast("long").alias("mi")).agg(F.sqrt(F.max_by("var", "day")).alias("vol"))
+
+
+def month_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's volatility at the end of each month."""
+    return daily_volatility(daily_bars(spark, sf_dir)).select("symbol", F.col("mi").alias("month"), F.round("vol", 8).alias("vol"))
+
+
+_VOLATILITY = f"""sq AS (SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS k, square FROM (SELECT symbol, day, pow(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)), 2) AS square FROM b) WHERE square IS NOT NULL),
+st AS (SELECT symbol, avg(square) AS var FROM sq WHERE k < {WARM} GROUP BY 1 HAVING count(*) = {WARM}),
+vr AS (SELECT symbol, {WARM - 1} AS k, NULL::DATE AS day, var FROM st UNION ALL SELECT sq.symbol, sq.k, sq.day, {FADE}::DOUBLE * vr.var + {1 - FADE}::DOUBLE * square FROM vr JOIN sq ON sq.symbol = vr.symbol AND sq.k = vr.k + 1),
+vo AS MATERIALIZED (SELECT symbol, CAST(year(day) * 12 + month(day) - 1 AS BIGINT) AS mi, sqrt(arg_max(var, day)) AS vol FROM vr WHERE day IS NOT NULL GROUP BY 1, 2)"""
+MONTH_VOLATILITY = f"WITH RECURSIVE {BARS}, {_VOLATILITY} SELECT symbol, mi AS month, round(vol, 8) AS vol FROM vo"
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mi, rate: a yearly riskless rate in percent, each month's mean discount standing for it."""
+    return table(spark, sf_dir, "lineitem").groupBy((F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).cast("long").alias("mi")).agg((F.avg("l_discount") * 100).alias("rate"))
+
+
+def risk_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's forecasts of the next three months' log return: what the riskless rate then known gives and the mean
+    excess so far, with the quantiles of excesses, or of excesses by their volatility times that of now."""
+    c, h = F.col, AHEAD
+    line = Window.partitionBy("symbol").orderBy("mi")
+    closes = month_closes(spark, sf_dir)
+    known = F.last("rate", ignorenulls=True).over(line.rangeBetween(-STALE, 0))
+    rows = closes.join(rates(spark, sf_dir), "mi", "left").join(daily_volatility(daily_bars(spark, sf_dir)), ["symbol", "mi"], "left")
+    rows = rows.withColumns({"rf": F.log1p(known / 100) * h / 12, "y": F.log(F.lead("close", h).over(line) / c("close"))}).withColumn("excess", c("y") - c("rf"))
+    past = F.collect_list(F.when(c("excess").isNotNull(), F.struct("excess", "vol"))).over(line.rowsBetween(Window.unboundedPreceding, -h))  # a calendar's months
+    ready = rows.withColumn("past", past).where((F.size("past") >= LEAST_TRAINED) & c("rf").isNotNull() & c("y").isNotNull())
+    mean = F.aggregate("past", F.lit(0.0), lambda acc, x: acc + x["excess"]) / F.size("past")
+    ready = ready.withColumn("mean", mean)
+    scale = (TRADING * h) ** 0.5
+    off = F.array_sort(F.transform("past", lambda x: x["excess"] - c("mean")))
+    by_vol = F.array_sort(F.transform(F.filter("past", lambda x: x["vol"].isNotNull()), lambda x: (x["excess"] - c("mean")) / (x["vol"] * scale)))
+    models = F.array(F.struct(F.lit("rate").alias("model"), off.alias("off"), F.lit(1.0).alias("width")), F.struct(F.lit("volatility").alias("model"), by_vol.alias("off"), (c("vol") * scale).alias("width")))
+    each = ready.select("symbol", "mi", "y", (c("rf") + c("mean")).alias("centre"), F.explode(models).alias("m")).where((F.size("m.off") >= LEAST_TRAINED) & c("m.width").isNotNull())
+
+    def quantile(q: float):
+        place = (F.size("m.off") - 1) * F.lit(q)
+        low, high = F.get("m.off", F.floor(place).cast("int")), F.get("m.off", F.ceil(place).cast("int"))
+        return c("centre") + (low + (high - low) * (place - F.floor(place))) * c("m.width")
+
+    out = each.select("symbol", "mi", "y", "m.model", "centre", quantile(ALPHA / 2).alias("low"), quantile(1 - ALPHA / 2).alias("high"))
+    return out.select("symbol", c("mi").alias("month"), "model", *(F.round(x, 6).alias(x) for x in ("y", "centre", "low", "high")), F.round(interval_score(c("low"), c("high"), c("y"), ALPHA), 6).alias("score"))
+
+
+RISK_FORECASTS = f"""WITH RECURSIVE {BARS}, {_VOLATILITY}, mc AS (SELECT symbol, mi, close FROM (SELECT symbol, CAST(year(day) * 12 + month(day) - 1 AS BIGINT) AS mi, arg_max(close, day) AS close FROM b GROUP BY 1, 2) m WHERE mi < (SELECT max(CAST(year(day) * 12 + month(day) - 1 AS BIGINT)) FROM b WHERE b.symbol = m.symbol)),
+rt AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS BIGINT) AS mi, avg(l_discount) * 100 AS rate FROM lineitem GROUP BY 1),
+x AS MATERIALIZED (SELECT mc.symbol, mc.mi, vol, (SELECT ln(1 + arg_max(rate, rt.mi) / 100) * {AHEAD} / 12 FROM rt WHERE rt.mi BETWEEN mc.mi - {STALE} AND mc.mi) AS rf, ln(lead(close, {AHEAD}) OVER o / close) AS y, row_number() OVER o AS pos FROM mc LEFT JOIN vo ON vo.symbol = mc.symbol AND vo.mi = mc.mi WINDOW o AS (PARTITION BY mc.symbol ORDER BY mc.mi)),
+m AS (SELECT a.symbol, a.mi, any_value(a.y) AS y, any_value(a.vol) AS vol, any_value(a.pos) AS pos, any_value(a.rf) + avg(p.y - p.rf) AS centre, avg(p.y - p.rf) AS mean FROM x a JOIN x p ON p.symbol = a.symbol AND p.pos <= a.pos - {AHEAD} WHERE a.rf IS NOT NULL AND a.y IS NOT NULL AND p.y - p.rf IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {LEAST_TRAINED}),
+q AS (SELECT m.symbol, m.mi, quantile_cont(p.y - p.rf - mean, {ALPHA / 2}::DOUBLE) AS a1, quantile_cont(p.y - p.rf - mean, {1 - ALPHA / 2}::DOUBLE) AS a2, quantile_cont((p.y - p.rf - mean) / (p.vol * sqrt({TRADING * AHEAD})), {ALPHA / 2}::DOUBLE) FILTER (WHERE p.vol IS NOT NULL) AS b1, quantile_cont((p.y - p.rf - mean) / (p.vol * sqrt({TRADING * AHEAD})), {1 - ALPHA / 2}::DOUBLE) FILTER (WHERE p.vol IS NOT NULL) AS b2, count(p.vol) AS nv
+  FROM m JOIN x p ON p.symbol = m.symbol AND p.pos <= m.pos - {AHEAD} WHERE p.y - p.rf IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT symbol, mi, y, 'rate' AS model, centre, centre + a1 AS low, centre + a2 AS high FROM m JOIN q USING (symbol, mi) UNION ALL SELECT symbol, mi, y, 'volatility', centre, centre + b1 * vol * sqrt({TRADING * AHEAD}), centre + b2 * vol * sqrt({TRADING * AHEAD}) FROM m JOIN q USING (symbol, mi) WHERE vol IS NOT NULL AND nv >= {LEAST_TRAINED})
+SELECT symbol, mi AS month, model, round(y, 6) AS y, round(centre, 6) AS centre, round(low, 6) AS low, round(high, 6) AS high, round({_SCORE}, 6) AS score FROM f"""
+
+QUERIES = {"rises": rises, "event_paths": event_paths, "market_slopes": market_slopes, "long_earnings": long_earnings, "years_ahead": years_ahead, "walked_forecasts": walked_forecasts, "forecast_scores": forecast_scores, "thinned": thinned, "month_volatility": month_volatility, "risk_forecasts": risk_forecasts}
+SQL = {"rises": RISES_SQL, "event_paths": EVENT_PATHS, "market_slopes": MARKET_SLOPES, "long_earnings": LONG_EARNINGS, "years_ahead": YEARS_AHEAD, "walked_forecasts": WALKED_FORECASTS, "forecast_scores": FORECAST_SCORES, "thinned": THINNED, "month_volatility": MONTH_VOLATILITY, "risk_forecasts": RISK_FORECASTS}

@@ -199,3 +199,35 @@ def test_recursions_equal_plain_loops(spark, block):
         x, z = (a * x + b, z + k) if k else (b, 0.0)
         assert got[g, k] == (k, pytest.approx(x, abs=1e-12), z)
     assert len(got) == len(rows)
+
+
+def test_shapes_break_without_looking_ahead(spark):
+    """Planted shapes break where they should, and what was known by a day doesn't change afterwards."""
+
+    def days(close):
+        return spark.createDataFrame([("x", f"{k:04}", float(v)) for k, v in enumerate(close)], "symbol string, day string, close double")
+
+    leg = lambda a, b, n=25: list(np.linspace(a, b, n))
+    double = leg(110, 100) + leg(100, 108) + leg(108, 100.5) + leg(100.5, 112)
+    got = {r["kind"]: r for r in signals.breaks(days(double)).collect()}
+    hit = got["double"]
+    assert hit["side"] == 1 and hit["level"] == 108 and double[int(hit["day"])] > 108 >= max(double[int(hit["day"]) - 3 : int(hit["day"])])
+    head = leg(90, 100) + leg(100, 95) + leg(95, 108) + leg(108, 95.5) + leg(95.5, 100.5) + leg(100.5, 88)
+    assert any(r["kind"] == "head and shoulders" and r["side"] == -1 for r in signals.breaks(days(head)).collect())
+    flag = leg(100, 112, 16) + leg(112, 107.5, 4) + leg(107.5, 118, 6)
+    assert any(r["kind"] == "flag" and r["level"] == 112 for r in signals.breaks(days(flag)).collect())
+    late = leg(100, 112, 16) + leg(112, 107.5, 8) + leg(107.5, 111.9, 30) + leg(111.9, 118, 12)
+    assert not any(r["kind"] == "flag" for r in signals.breaks(days(late)).collect())  # waited longer than the pole
+    rng = np.random.default_rng(12)
+    close = (100 * np.exp(rng.normal(0, 0.015, 900).cumsum())).tolist()
+    whole = {tuple(r) for r in signals.breaks(days(close)).collect()}
+    assert len(whole) > 5
+    for cut in (300, 650):
+        assert {tuple(r) for r in signals.breaks(days(close[:cut])).collect()} == {r for r in whole if r[3] < f"{cut:04}"}
+
+
+def test_normal_tail(spark):
+    import math
+
+    for z in (0.0, 0.5, -1.959963984540054, 4.0, 9.0):
+        assert one(spark, scalars.normal_p(F.lit(z))) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-9)
