@@ -73,6 +73,37 @@ def moments(rows: DataFrame, p: int, weight: Column | None = None) -> np.ndarray
     return _summed(rows.select("y", "x", "hot", (F.lit(1.0) if weight is None else weight).alias("w")).mapInArrow(run, CELLS), (p + 1, p + 1))
 
 
+def moments_by(rows: DataFrame, p: int, weight: Column, fold: Column, folds: int) -> np.ndarray:
+    """moments() of each fold, folds x (p + 1) x (p + 1), in one pass. fold: a number below folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, p + 1, p + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                m, w, f = _matrix(part, p), part.column("w").to_numpy(zero_copy_only=False), part.column("f").to_numpy(zero_copy_only=False)
+                for k in np.unique(f):
+                    total[k] += m[f == k].T @ (m[f == k] * w[f == k, None])
+        yield _cells(total.reshape(folds * (p + 1), p + 1))
+
+    cells = rows.select("y", "x", "hot", weight.cast("double").alias("w"), fold.cast("int").alias("f")).mapInArrow(run, CELLS)
+    return _summed(cells, (folds * (p + 1), p + 1)).reshape(folds, p + 1, p + 1)
+
+
+def fold_errors(sums: np.ndarray, kept: list[int]) -> list[float]:
+    """The weighted error of each fold under the fit of the others, from their sums alone: a fold's model is that of the
+    whole less the fold, and what it misses is a form in the fold's sums. kept: the terms that the fits use. The
+    last sums of a fold hold its weight at the constant, term 0."""
+    whole, out = sums.sum(0), []
+    y = sums.shape[1] - 1
+    for own in sums:
+        rest = whole - own
+        b = inverted(rest[np.ix_(kept, kept)]) @ rest[kept, y]
+        missed = own[y, y] - 2 * b @ own[kept, y] + b @ own[np.ix_(kept, kept)] @ b
+        out.append(float(np.sqrt(max(missed, 0.0) / own[0, 0])) if own[0, 0] > 0 else float("nan"))
+    return out
+
+
 def group_sums(rows: DataFrame, group: str, p: int, weights: dict[str, Column]) -> DataFrame:
     """For each group, what each term (p: the response, p + 1: one) sums to under each weight:
     group, k array<int>, and an array for each weight. A group's sums are first added up by term."""

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthline.functions.scalars import floor_band, spline_basis
 from hearthline.operators.ranks import quantiles
-from hearthline.operators.regression import KNOT_PERCENTS, Fit, absorbed, design, knots_for, settled_knots, spline_names, weighted, within_products
+from hearthline.operators.regression import KNOT_PERCENTS, Fit, absorbed, design, fold_errors, knots_for, moments_by, settled_knots, spline_names, weighted, within_products
 from hearthline.plans.market import TRADES
 from hearthline.sources.tables import complexes, table, trades
 from hearthline.storage import ship, written
@@ -27,6 +27,8 @@ from hearthline.storage import ship, written
 #: points of a curve, the normal bound of 95 percent, the share of missing values' indicator.
 AREA, FLOOR = 84.0, "middle"
 LEAST_BRAND = 20
+LEAST_SALES = 2  # of a building
+FOLDS = 5
 POINTS = 48
 BOUND = 1.959963984540054
 PERCENTS = sorted({q for qs in KNOT_PERCENTS.values() for q in qs})
@@ -270,6 +272,43 @@ def hedonic_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
 
 
+def hedonic_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of stage two on complexes that a fit hasn't seen, whole and without each variable: the mean over folds,
+    what leaving the variable out costs, and in how many folds it is worse. One pass serves all of them."""
+    model = stage_two(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.col("complex_id").cast("string")), F.lit(FOLDS))
+    sums = moments_by(model.design, len(model.names), model.weight, fold, FOLDS)
+    every = list(range(len(model.names)))
+    base = fold_errors(sums, every)
+    rows = [("", float(np.mean(base)), 0.0, 0)]
+    for variable in [*model.splines, "brand", "sgg"]:
+        gone = set(model.splines[variable][0]) if variable in model.splines else {n for n in model.names if n.startswith(f"{variable}_")}
+        own = fold_errors(sums, [k for k in every if model.names[k] not in gone and model.names[k] != f"{variable}_missing"])
+        rows.append((variable, float(np.mean(own)), float(np.mean(own) - np.mean(base)), sum(a > b for a, b in zip(own, base, strict=True))))
+    return spark.createDataFrame([(v, round(e, 6), round(c, 6), w) for v, e, c, w in rows], "without string, rmse double, cost double, worse_folds int")
+
+
+def premiums(residuals: DataFrame) -> DataFrame:
+    """complex_id, dong, n, raw, effect: what a building adds within cells of one complex and area type that
+    several buildings share, shrunk towards zero by the variance between buildings."""
+    c = F.col
+    cell = ["complex_id", "area_key"]
+    rows = residuals.where("dong is not null")
+    shared = rows.groupBy(*cell).agg(F.countDistinct("dong").alias("k"), F.avg("e").alias("mid")).where("k >= 2").drop("k")
+    per = rows.join(shared, cell).groupBy("complex_id", "dong").agg(F.count("*").alias("n"), F.avg(c("e") - c("mid")).alias("raw")).where(F.col("n") >= LEAST_SALES)
+    noise = residuals.agg(F.var_samp("e").alias("s2"))
+    seen = per.agg((F.sum(c("n") * c("raw") * c("raw")) / F.sum("n")).alias("seen"), (F.count("*") / F.sum("n")).alias("share"))
+    scale = seen.join(noise).select("s2", F.greatest(c("seen") - c("s2") * c("share"), F.lit(0.0)).alias("tau2"))  # one row each
+    k = F.when(c("tau2") > 0, c("tau2") / (c("tau2") + c("s2") / c("n"))).otherwise(0.0)
+    return per.join(F.broadcast(scale)).select("complex_id", "dong", "n", "raw", (c("raw") * k).alias("effect"))
+
+
+def building_premiums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of buildings on what stage one leaves, with area, floor, month, walk and deal type taken out."""
+    r = lambda v: F.round(v, 6) + 0.0
+    return premiums(stage_one(spark, sf_dir)[2]).select("complex_id", "dong", "n", r(F.col("raw")).alias("raw"), r(F.col("effect")).alias("effect"), F.round((F.exp("effect") - 1) * 100, 4).alias("pct"))
+
+
 # ---- SQL
 
 
@@ -372,7 +411,12 @@ ef AS (SELECT r, sum(v * b) AS f FROM ct JOIN f_b USING (k) GROUP BY 1), er AS (
 SELECT variable, round(x, 6) AS x, round((exp(f) - 1) * 100, 3) + 0.0 AS fit_pct, round((exp(f - {BOUND} * s) - 1) * 100, 3) + 0.0 AS lo_pct, round((exp(f + {BOUND} * s) - 1) * 100, 3) + 0.0 AS hi_pct FROM pt JOIN ef USING (r) JOIN er USING (r)"""
 
 
-QUERIES = {f.__name__: f for f in (hedonic_gram, hedonic_stage_one, hedonic_levels, hedonic_stage_two, hedonic_residuals, hedonic_curves, hedonic_tests)}
+BUILDING_PREMIUMS = f"""WITH RECURSIVE {FITTED}, x AS (SELECT fr.c, area_key, dong, e FROM re JOIN fr USING (r)), cl AS (SELECT c, area_key, avg(e) AS mid FROM x GROUP BY 1, 2 HAVING count(DISTINCT dong) >= 2),
+pb AS (SELECT c, dong, count(*) AS n, avg(e - mid) AS raw FROM x JOIN cl USING (c, area_key) GROUP BY 1, 2 HAVING count(*) >= {LEAST_SALES}),
+bx AS (SELECT s2, greatest(seen - s2 * share, 0) AS tau2 FROM (SELECT sum(n * raw * raw) / sum(n) AS seen, count(*) / sum(n) AS share FROM pb), (SELECT var_samp(e) AS s2 FROM x))
+SELECT c AS complex_id, dong, n, round(raw, 6) + 0.0 AS raw, round(raw * k, 6) + 0.0 AS effect, round((exp(raw * k) - 1) * 100, 4) AS pct FROM (SELECT pb.*, CASE WHEN tau2 > 0 THEN tau2 / (tau2 + s2 / n) ELSE 0 END AS k FROM pb, bx)"""
+
+QUERIES = {f.__name__: f for f in (building_premiums, hedonic_folds, hedonic_gram, hedonic_stage_one, hedonic_levels, hedonic_stage_two, hedonic_residuals, hedonic_curves, hedonic_tests)}
 SQL = {
-    "hedonic_gram": HEDONIC_GRAM, "hedonic_stage_one": HEDONIC_STAGE_ONE, "hedonic_levels": HEDONIC_LEVELS, "hedonic_stage_two": HEDONIC_STAGE_TWO, "hedonic_residuals": HEDONIC_RESIDUALS, "hedonic_curves": _curves_sql(),
+    "building_premiums": BUILDING_PREMIUMS, "hedonic_gram": HEDONIC_GRAM, "hedonic_stage_one": HEDONIC_STAGE_ONE, "hedonic_levels": HEDONIC_LEVELS, "hedonic_stage_two": HEDONIC_STAGE_TWO, "hedonic_residuals": HEDONIC_RESIDUALS, "hedonic_curves": _curves_sql(),
 }

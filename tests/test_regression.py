@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions.distributions import beta_cdf, chi2_sf, normal_p, t_critical, t_p
-from hearthline.operators.regression import absorbed, design, settled_knots, weighted
+from hearthline.operators.regression import absorbed, design, fold_errors, moments_by, settled_knots, weighted
 from hearthline.plans import hedonic
 
 
@@ -144,3 +144,33 @@ def test_month_trend_and_empty_frame(spark):
 
     fit = Fit(["a", "ym_1", "ym_2"], np.array([9.0, -0.02, -0.01]), np.eye(3), np.eye(4), 10)
     assert hedonic.month_trend(fit) == pytest.approx((math.exp(0.01) - 1) * 100)
+
+
+def test_folds_equal_fits_of_their_own(spark):
+    rng = np.random.default_rng(10)
+    rows = [(k, float(rng.normal()), float(rng.normal()), float(rng.normal()), int(rng.integers(0, 4))) for k in range(300)]
+    df = spark.createDataFrame(rows, "g long, y double, x1 double, x2 double, d int").repartition(6)
+    lines = design(df, F.col("y"), [F.lit(1.0), F.col("x1"), F.col("x2")], [F.when(F.col("d") > 0, F.col("d") + 2)], "g")
+    sums = moments_by(lines, 6, 1.0 + F.col("g") % 3, F.col("g") % 5, 5)
+    g, y, z = dense(rows)
+    z, w = np.hstack([np.ones((300, 1)), z]), 1.0 + g % 3
+    for kept in (list(range(6)), [0, 2, 3, 4, 5]):
+        want = []
+        for k in range(5):
+            fit, own = g % 5 != k, g % 5 == k
+            zk = z[:, kept]
+            b = np.linalg.lstsq(zk[fit] * np.sqrt(w[fit, None]), y[fit] * np.sqrt(w[fit]), rcond=None)[0]
+            want.append(math.sqrt(np.average((y[own] - zk[own] @ b) ** 2, weights=w[own])))
+        assert fold_errors(sums, kept) == pytest.approx(want, rel=1e-9)
+
+
+def test_planted_building_effects(spark):
+    rng = np.random.default_rng(11)
+    truth = {(c, d): float(rng.normal(0, 0.05)) for c in range(40) for d in range(4)}
+    rows = [(c, a, d, truth[c, d] + float(rng.normal(0, 0.1)) + 0.02 * a) for c, d in truth for a in (0, 1) for _ in range(8)]
+    rows += [(99, 0, 1, 0.1), (99, 0, 1, 0.1), (98, 0, 1, 0.1), (98, 0, 2, 0.2), (97, 0, None, 0.1)]  # alone in its cells; sold once each; no building
+    got = hedonic.premiums(spark.createDataFrame(rows, "complex_id long, area_key long, dong long, e double").repartition(5)).collect()
+    assert {(r["complex_id"], r["dong"]) for r in got} == set(truth)
+    own = [truth[r["complex_id"], r["dong"]] - np.mean([truth[r["complex_id"], d] for d in range(4)]) for r in got]
+    assert np.corrcoef(own, [r["effect"] for r in got])[0, 1] > 0.75
+    assert all(abs(r["effect"]) <= abs(r["raw"]) for r in got)
