@@ -39,7 +39,7 @@ PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 MOST = 1 << 26
-SLICE = 4096  # vectors that are assigned at once
+SLICE = 8192  # vectors that are assigned at once
 BROADCAST_ROWS = 500_000  # labels with their sums, of 16 bytes each
 SALTS = 64
 
@@ -155,12 +155,24 @@ def _assigned(books: list[np.ndarray], width: int) -> Callable[[pa.Array], Itera
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows or more, as a tree is walked once for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= SLICE:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _sums(books: list[np.ndarray], width: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assigned, size, k = _assigned(books, width), width // PARTS, len(books[0])
         counts, totals = np.zeros((PARTS, k), np.int64), np.zeros((PARTS, k, size), np.int64)
-        for batch in batches:
+        for batch in _gathered(batches):
             for v, index, _ in assigned(batch.column(0)):
                 for p in range(PARTS):
                     own = v[:, p * size : (p + 1) * size]
@@ -181,7 +193,7 @@ def _codes(books: list[np.ndarray], width: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assigned = _assigned(books, width)
-        for batch in batches:
+        for batch in _gathered(batches):
             at = 0
             for v, index, square in assigned(batch.column(0)):
                 own = batch.slice(at, len(v))
