@@ -191,7 +191,7 @@ class Fit:
         return {self.names[k]: float(v) for k, v in zip(at, np.diag(inverse), strict=True)}
 
 
-def _predicted(beta: np.ndarray) -> Column:
+def predicted(beta: np.ndarray) -> Column:
     """x and hot times their coefficients."""
     b = F.array(*map(F.lit, map(float, beta)))
     numeric = F.aggregate(F.zip_with("x", F.slice(b, F.lit(1), F.size("x")), lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
@@ -219,7 +219,7 @@ def absorbed(rows: DataFrame, group: str, names: list[str]) -> tuple[Fit, DataFr
 
     kind = rows.schema[group].dataType.simpleString()
     alphas = written(groups.mapInArrow(level, f"{group} {kind}, n long, alpha double"), "alphas")
-    residuals = written(rows.join(alphas.select(group, "alpha"), group).withColumn("e", F.col("y") - _predicted(beta) - F.col("alpha")), "residuals")
+    residuals = written(rows.join(alphas.select(group, "alpha"), group).withColumn("e", F.col("y") - predicted(beta) - F.col("alpha")), "residuals")
     sums = written(group_sums(residuals, group, p, {"s": F.lit(1.0), "se": F.col("e"), "see": F.col("e") * F.col("e")}), "sums")
 
     def meats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def weighted(rows: DataFrame, names: list[str], weight: Column | None = None, sm
     gram = moments(held, p, F.col("w"))
     inverse = inverted(gram[:p, :p])
     beta = inverse @ gram[:p, p]
-    fitted = held.withColumn("fitted", _predicted(beta)).withColumn("e", F.col("y") - F.col("fitted"))
+    fitted = held.withColumn("fitted", predicted(beta)).withColumn("e", F.col("y") - F.col("fitted"))
     n, ssr = fitted.agg(F.count("*"), F.sum(F.col("w") * F.col("e") * F.col("e"))).first()
 
     def meat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

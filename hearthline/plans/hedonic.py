@@ -12,15 +12,16 @@ complex's age is its part's size, its households what the part costs beyond 900,
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthline.functions.scalars import floor_band, spline_basis
-from hearthline.operators.ranks import quantiles
-from hearthline.operators.regression import KNOT_PERCENTS, Fit, absorbed, design, fold_errors, knots_for, moments_by, settled_knots, spline_names, weighted, within_products
+from hearthline.operators.ranks import quantiles, ranked
+from hearthline.operators.regression import KNOT_PERCENTS, Fit, absorbed, design, fold_errors, knots_for, moments_by, predicted, settled_knots, spline_names, weighted, within_products
 from hearthline.plans.market import TRADES
-from hearthline.sources.tables import complexes, table, trades
+from hearthline.sources.tables import PYEONG, complexes, table, trades
 from hearthline.storage import ship, written
 
 #: The area that levels are for, the floor band of reference, the fewest complexes of a brand,
@@ -60,19 +61,36 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stage_one_rows(t: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(rows for absorbed(), names of their terms). Terms that never vary are left out."""
+@dataclass(frozen=True)
+class StageOneTerms:
+    """What stage one's terms are made of. Those that never vary are left out."""
+
+    knots: list[float] | None
+    direct: bool
+    bands: list[str]
+    months: list[str]
+
+    def names(self) -> list[str]:
+        return spline_names("log_area", self.knots) + ["dong_walk_dev"] + ["deal_direct"] * self.direct + [f"fb_{b}" for b in self.bands] + [f"ym_{m}" for m in self.months]
+
+    def rows(self, t: DataFrame, *keep: str) -> DataFrame:
+        """t laid out: the rows of a fit, or of what is to be predicted. t: y, a, walk_dev, band, direct, deal_ym."""
+        numeric = (spline_basis(F.col("a"), self.knots) if self.knots else [F.col("a")]) + [F.col("walk_dev")] + [F.col("direct")] * self.direct
+        at = len(numeric)
+        return design(t, F.col("y"), numeric, [_level(F.col("band"), self.bands, at), _level(F.col("deal_ym"), self.months, at + len(self.bands))], *keep)
+
+
+def stage_one_terms(t: DataFrame) -> StageOneTerms:
     n, direct = t.agg(F.count("*"), F.sum("direct")).first()
     months = sorted(r["deal_ym"] for r in t.select("deal_ym").distinct().collect())[:-1]
     bands = sorted(r["band"] for r in t.select("band").distinct().collect() if r["band"] not in (FLOOR, "unknown"))
-    knots = knots_of(t, "a", knots_for(n // 20))
-    numeric = spline_basis(F.col("a"), knots) if knots else [F.col("a")]
-    names = spline_names("log_area", knots) + ["dong_walk_dev"] + (["deal_direct"] if direct else [])
-    numeric = numeric + [F.col("walk_dev")] + ([F.col("direct")] if direct else [])
-    dummy = lambda column, values, at: F.get(F.array(*(F.lit(k) for k in range(at, at + len(values)))), F.array_position(F.array(*map(F.lit, values)), F.col(column)).cast("int") - 1) if values else F.lit(None)
-    at = len(names)
-    rows = design(t, F.col("y"), numeric, [dummy("band", bands, at), dummy("deal_ym", months, at + len(bands))], "complex_id", "area_key", "dong", "walk_min")
-    return rows, names + [f"fb_{b}" for b in bands] + [f"ym_{m}" for m in months]
+    return StageOneTerms(knots_of(t, "a", knots_for(n // 20)), bool(direct), bands, months)
+
+
+def stage_one_rows(t: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(rows for absorbed(), names of their terms)."""
+    terms = stage_one_terms(t)
+    return terms.rows(t, "complex_id", "area_key", "dong", "walk_min"), terms.names()
 
 
 def stage_one(spark: SparkSession, sf_dir: str) -> tuple[Fit, DataFrame, DataFrame]:
@@ -272,6 +290,33 @@ def hedonic_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
 
 
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest offer of each complex and building: complex_id, dong, area, floor, asked, walk."""
+    last = F.max_by(F.struct("exclusive_area", "floor", "deal_amount"), F.struct("deal_date", "deal_amount", "exclusive_area", "floor"))
+    rows = trades(spark, sf_dir).where("exclusive_area > 0 AND deal_amount > 0").groupBy("complex_id", "dong").agg(last.alias("o"))
+    return rows.join(walks(spark, sf_dir), "dong", "left").select("complex_id", "dong", F.col("o.exclusive_area").alias("area"), F.col("o.floor").alias("floor"), F.col("o.deal_amount").alias("asked"), "walk")
+
+
+def ranked_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers against the model, cheapest first: the price that the complex's own level gives with the offer's area, floor
+    and building at the last month, and the price that the factors of its complex give; gaps in percent."""
+    ship(spark)
+    c = F.col
+    t = written(frame(spark, sf_dir), "frame")
+    terms = stage_one_terms(t)
+    fit, levels, residuals = absorbed(written(terms.rows(t, "complex_id", "area_key", "dong", "walk_min"), "design"), "complex_id", terms.names())
+    model = StageTwo(written(levels_of(spark, sf_dir, levels, residuals), "levels"))
+    known = levels.select("complex_id", "alpha").join(model.rows.select("complex_id", "fitted"), "complex_id")
+    per = t.groupBy("complex_id").agg(F.max("walk_min").alias("walk_min"))
+    tops = trades(spark, sf_dir).where("exclusive_area > 0 AND deal_amount > 0").groupBy("complex_id").agg(F.max("floor").alias("top"))
+    rows = offers(spark, sf_dir).join(per, "complex_id").join(tops, "complex_id").join(known, "complex_id")
+    laid = rows.select("complex_id", "dong", "area", "floor", "asked", "alpha", "fitted", F.lit(0.0).alias("y"), F.log(c("area") / AREA).alias("a"), F.coalesce(c("walk") - c("walk_min"), F.lit(0.0)).alias("walk_dev"), floor_band(c("floor"), c("top")).alias("band"), F.lit(0.0).alias("direct"), F.lit("").alias("deal_ym"))
+    priced = terms.rows(laid, "complex_id", "dong", "area", "floor", "asked", "alpha", "fitted").withColumn("own", predicted(fit.beta))
+    price = lambda level: F.exp(c(level) + c("own")) * c("area") / PYEONG
+    gaps = priced.select("complex_id", "dong", "area", "floor", "asked", F.round(price("alpha"), 1).alias("fair"), F.round(price("fitted"), 1).alias("by_factors"), F.round((c("asked") / price("alpha") - 1) * 100, 3).alias("gap_pct"), F.round((c("asked") / price("fitted") - 1) * 100, 3).alias("gap_factors_pct"))
+    return ranked(gaps, [], ["gap_pct", "complex_id", "dong"])
+
+
 def hedonic_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of stage two on complexes that a fit hasn't seen, whole and without each variable: the mean over folds,
     what leaving the variable out costs, and in how many folds it is worse. One pass serves all of them."""
@@ -416,7 +461,18 @@ pb AS (SELECT c, dong, count(*) AS n, avg(e - mid) AS raw FROM x JOIN cl USING (
 bx AS (SELECT s2, greatest(seen - s2 * share, 0) AS tau2 FROM (SELECT sum(n * raw * raw) / sum(n) AS seen, count(*) / sum(n) AS share FROM pb), (SELECT var_samp(e) AS s2 FROM x))
 SELECT c AS complex_id, dong, n, round(raw, 6) + 0.0 AS raw, round(raw * k, 6) + 0.0 AS effect, round((exp(raw * k) - 1) * 100, 4) AS pct FROM (SELECT pb.*, CASE WHEN tau2 > 0 THEN tau2 / (tau2 + s2 / n) ELSE 0 END AS k FROM pb, bx)"""
 
-QUERIES = {f.__name__: f for f in (building_premiums, hedonic_folds, hedonic_gram, hedonic_stage_one, hedonic_levels, hedonic_stage_two, hedonic_residuals, hedonic_curves, hedonic_tests)}
+RANKED_OFFERS = f"""WITH RECURSIVE {STAGE_TWO}, po AS (SELECT complex_id, dong, arg_max({{'a': exclusive_area, 'f': floor, 'p': deal_amount}}, {{'d': deal_date, 'p': deal_amount, 'a': exclusive_area, 'f': floor}}) AS o FROM trades WHERE exclusive_area > 0 AND deal_amount > 0 GROUP BY 1, 2),
+tops AS (SELECT complex_id, max(floor) AS top FROM trades WHERE exclusive_area > 0 AND deal_amount > 0 GROUP BY 1),
+ofr AS MATERIALIZED (SELECT row_number() OVER () AS r, complex_id, dong, o.a AS area, o.f AS floor, o.p AS asked, ln(o.a / 84) AS a, (s_acctbal + 1000) / 1000 - l2.walk_min AS walk_dev, f_e.fitted, l2.alpha,
+  CASE WHEN o.f <= 1 THEN 'first' WHEN top >= 8 THEN CASE WHEN o.f >= top THEN 'top' WHEN o.f / top <= 0.25 THEN 'low' WHEN o.f / top <= 0.65 THEN 'middle' ELSE 'high' END WHEN o.f <= 3 THEN 'low' WHEN o.f <= 7 THEN 'middle' ELSE 'high' END AS band
+  FROM po JOIN l2 ON l2.r = complex_id JOIN f_e ON f_e.r = complex_id JOIN tops USING (complex_id) LEFT JOIN supplier ON s_suppkey = dong),
+ol AS ({sql_spline("ofr", "r", "a", "log_area", "kn")} UNION ALL SELECT r, 'dong_walk_dev', coalesce(walk_dev, 0) FROM ofr UNION ALL SELECT r, 'fb_' || band, 1 FROM ofr WHERE band <> 'middle'),
+og AS (SELECT r, sum(v * b) AS own FROM ol JOIN tm USING (term) JOIN beta USING (k) GROUP BY 1),
+pz AS (SELECT complex_id, dong, area, floor, asked, exp(alpha + own) * area / 3.305785 AS f, exp(fitted + own) * area / 3.305785 AS g FROM ofr JOIN og USING (r)),
+rd AS (SELECT complex_id, dong, area, floor, asked, round(f, 1) AS fair, round(g, 1) AS by_factors, round((asked / f - 1) * 100, 3) AS gap_pct, round((asked / g - 1) * 100, 3) AS gap_factors_pct FROM pz)
+SELECT *, row_number() OVER (ORDER BY gap_pct, complex_id, dong) AS rank FROM rd"""
+
+QUERIES = {f.__name__: f for f in (ranked_offers, building_premiums, hedonic_folds, hedonic_gram, hedonic_stage_one, hedonic_levels, hedonic_stage_two, hedonic_residuals, hedonic_curves, hedonic_tests)}
 SQL = {
-    "building_premiums": BUILDING_PREMIUMS, "hedonic_gram": HEDONIC_GRAM, "hedonic_stage_one": HEDONIC_STAGE_ONE, "hedonic_levels": HEDONIC_LEVELS, "hedonic_stage_two": HEDONIC_STAGE_TWO, "hedonic_residuals": HEDONIC_RESIDUALS, "hedonic_curves": _curves_sql(),
+    "ranked_offers": RANKED_OFFERS, "building_premiums": BUILDING_PREMIUMS, "hedonic_gram": HEDONIC_GRAM, "hedonic_stage_one": HEDONIC_STAGE_ONE, "hedonic_levels": HEDONIC_LEVELS, "hedonic_stage_two": HEDONIC_STAGE_TWO, "hedonic_residuals": HEDONIC_RESIDUALS, "hedonic_curves": _curves_sql(),
 }
