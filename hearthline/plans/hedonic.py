@@ -263,8 +263,8 @@ def hedonic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = stage_two(spark, sf_dir)
     se2, tau2 = F.col("se") * F.col("se"), F.lit(model.tau2)
     share = F.when(tau2 > 0, tau2 / (tau2 + se2)).otherwise(0.0)
-    pct = lambda v: F.round((F.exp(v) - 1) * 100, 1)
-    return model.rows.select("complex_id", F.round("fitted", 3).alias("predicted"), F.round("e", 3).alias("residual"), pct(F.col("e")).alias("residual_pct"), pct(F.col("e") * share).alias("shrunk_pct"), F.round(F.when(tau2 + se2 > 0, F.col("e") / F.sqrt(tau2 + se2)).otherwise(0.0), 2).alias("z"))
+    pct = lambda v: F.round((F.exp(v) - 1) * 100, 1) + 0.0
+    return model.rows.select("complex_id", F.round("fitted", 3).alias("predicted"), (F.round("e", 3) + 0.0).alias("residual"), pct(F.col("e")).alias("residual_pct"), pct(F.col("e") * share).alias("shrunk_pct"), (F.round(F.when(tau2 + se2 > 0, F.col("e") / F.sqrt(tau2 + se2)).otherwise(0.0), 2) + 0.0).alias("z"))
 
 
 def hedonic_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +313,7 @@ def ranked_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = rows.select("complex_id", "dong", "area", "floor", "asked", "alpha", "fitted", F.lit(0.0).alias("y"), F.log(c("area") / AREA).alias("a"), F.coalesce(c("walk") - c("walk_min"), F.lit(0.0)).alias("walk_dev"), floor_band(c("floor"), c("top")).alias("band"), F.lit(0.0).alias("direct"), F.lit("").alias("deal_ym"))
     priced = terms.rows(laid, "complex_id", "dong", "area", "floor", "asked", "alpha", "fitted").withColumn("own", predicted(fit.beta))
     price = lambda level: F.exp(c(level) + c("own")) * c("area") / PYEONG
-    gaps = priced.select("complex_id", "dong", "area", "floor", "asked", F.round(price("alpha"), 1).alias("fair"), F.round(price("fitted"), 1).alias("by_factors"), F.round((c("asked") / price("alpha") - 1) * 100, 3).alias("gap_pct"), F.round((c("asked") / price("fitted") - 1) * 100, 3).alias("gap_factors_pct"))
+    gaps = priced.select("complex_id", "dong", "area", "floor", "asked", F.round(price("alpha"), 1).alias("fair"), (F.round(price("fitted") / 10) * 10).alias("by_factors"), (F.round((c("asked") / price("alpha") - 1) * 100, 3) + 0.0).alias("gap_pct"), (F.round((c("asked") / price("fitted") - 1) * 100, 2) + 0.0).alias("gap_factors_pct"))
     return ranked(gaps, [], ["gap_pct", "complex_id", "dong"])
 
 
@@ -351,7 +351,7 @@ def premiums(residuals: DataFrame) -> DataFrame:
 def building_premiums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effects of buildings on what stage one leaves, with area, floor, month, walk and deal type taken out."""
     r = lambda v: F.round(v, 6) + 0.0
-    return premiums(stage_one(spark, sf_dir)[2]).select("complex_id", "dong", "n", r(F.col("raw")).alias("raw"), r(F.col("effect")).alias("effect"), F.round((F.exp("effect") - 1) * 100, 4).alias("pct"))
+    return premiums(stage_one(spark, sf_dir)[2]).select("complex_id", "dong", "n", r(F.col("raw")).alias("raw"), r(F.col("effect")).alias("effect"), r((F.exp("effect") - 1) * 100).alias("pct"))
 
 
 # ---- SQL
@@ -443,8 +443,8 @@ HEDONIC_GRAM = f"WITH RECURSIVE {STAGE_ONE} SELECT a.term, b.term AS other, roun
 HEDONIC_STAGE_ONE = f"WITH RECURSIVE {FITTED} SELECT term, round(b, 6) + 0.0 AS coef, round(sqrt(greatest(v, 0)), 6) AS se, round(sqrt(greatest(u, 0)), 6) AS se_clustered FROM beta JOIN tm USING (k) JOIN cov ON i = k AND j = k"
 HEDONIC_LEVELS = f"WITH RECURSIVE {LEVELS} SELECT c AS complex_id, n, round(alpha, 6) AS alpha, round(se, 6) AS se FROM lv"
 HEDONIC_STAGE_TWO = f"WITH RECURSIVE {STAGE_TWO} SELECT term, round(b, 6) + 0.0 AS coef, round(sqrt(greatest(v, 0)), 6) AS se FROM f_b JOIN tm2 USING (k) JOIN f_v ON i = k AND j = k"
-HEDONIC_RESIDUALS = f"""WITH RECURSIVE {STAGE_TWO} SELECT r AS complex_id, round(fitted, 3) AS predicted, round(e, 3) AS residual, round((exp(e) - 1) * 100, 1) AS residual_pct,
-  round((exp(e * CASE WHEN tau2 > 0 THEN tau2 / (tau2 + se * se) ELSE 0 END) - 1) * 100, 1) AS shrunk_pct, round(CASE WHEN tau2 + se * se > 0 THEN e / sqrt(tau2 + se * se) ELSE 0 END, 2) AS z FROM f_e JOIN l2 USING (r), t2"""
+HEDONIC_RESIDUALS = f"""WITH RECURSIVE {STAGE_TWO} SELECT r AS complex_id, round(fitted, 3) AS predicted, round(e, 3) + 0.0 AS residual, round((exp(e) - 1) * 100, 1) + 0.0 AS residual_pct,
+  round((exp(e * CASE WHEN tau2 > 0 THEN tau2 / (tau2 + se * se) ELSE 0 END) - 1) * 100, 1) + 0.0 AS shrunk_pct, round(CASE WHEN tau2 + se * se > 0 THEN e / sqrt(tau2 + se * se) ELSE 0 END, 2) + 0.0 AS z FROM f_e JOIN l2 USING (r), t2"""
 
 
 def _curves_sql() -> str:
@@ -459,7 +459,7 @@ SELECT variable, round(x, 6) AS x, round((exp(f) - 1) * 100, 3) + 0.0 AS fit_pct
 BUILDING_PREMIUMS = f"""WITH RECURSIVE {FITTED}, x AS (SELECT fr.c, area_key, dong, e FROM re JOIN fr USING (r)), cl AS (SELECT c, area_key, avg(e) AS mid FROM x GROUP BY 1, 2 HAVING count(DISTINCT dong) >= 2),
 pb AS (SELECT c, dong, count(*) AS n, avg(e - mid) AS raw FROM x JOIN cl USING (c, area_key) GROUP BY 1, 2 HAVING count(*) >= {LEAST_SALES}),
 bx AS (SELECT s2, greatest(seen - s2 * share, 0) AS tau2 FROM (SELECT sum(n * raw * raw) / sum(n) AS seen, count(*) / sum(n) AS share FROM pb), (SELECT var_samp(e) AS s2 FROM x))
-SELECT c AS complex_id, dong, n, round(raw, 6) + 0.0 AS raw, round(raw * k, 6) + 0.0 AS effect, round((exp(raw * k) - 1) * 100, 4) AS pct FROM (SELECT pb.*, CASE WHEN tau2 > 0 THEN tau2 / (tau2 + s2 / n) ELSE 0 END AS k FROM pb, bx)"""
+SELECT c AS complex_id, dong, n, round(raw, 6) + 0.0 AS raw, round(raw * k, 6) + 0.0 AS effect, round((exp(raw * k) - 1) * 100, 6) + 0.0 AS pct FROM (SELECT pb.*, CASE WHEN tau2 > 0 THEN tau2 / (tau2 + s2 / n) ELSE 0 END AS k FROM pb, bx)"""
 
 RANKED_OFFERS = f"""WITH RECURSIVE {STAGE_TWO}, po AS (SELECT complex_id, dong, arg_max({{'a': exclusive_area, 'f': floor, 'p': deal_amount}}, {{'d': deal_date, 'p': deal_amount, 'a': exclusive_area, 'f': floor}}) AS o FROM trades WHERE exclusive_area > 0 AND deal_amount > 0 GROUP BY 1, 2),
 tops AS (SELECT complex_id, max(floor) AS top FROM trades WHERE exclusive_area > 0 AND deal_amount > 0 GROUP BY 1),
@@ -469,7 +469,7 @@ ofr AS MATERIALIZED (SELECT row_number() OVER () AS r, complex_id, dong, o.a AS
 ol AS ({sql_spline("ofr", "r", "a", "log_area", "kn")} UNION ALL SELECT r, 'dong_walk_dev', coalesce(walk_dev, 0) FROM ofr UNION ALL SELECT r, 'fb_' || band, 1 FROM ofr WHERE band <> 'middle'),
 og AS (SELECT r, sum(v * b) AS own FROM ol JOIN tm USING (term) JOIN beta USING (k) GROUP BY 1),
 pz AS (SELECT complex_id, dong, area, floor, asked, exp(alpha + own) * area / 3.305785 AS f, exp(fitted + own) * area / 3.305785 AS g FROM ofr JOIN og USING (r)),
-rd AS (SELECT complex_id, dong, area, floor, asked, round(f, 1) AS fair, round(g, 1) AS by_factors, round((asked / f - 1) * 100, 3) AS gap_pct, round((asked / g - 1) * 100, 3) AS gap_factors_pct FROM pz)
+rd AS (SELECT complex_id, dong, area, floor, asked, round(f, 1) AS fair, round(g / 10) * 10 AS by_factors, round((asked / f - 1) * 100, 3) + 0.0 AS gap_pct, round((asked / g - 1) * 100, 2) + 0.0 AS gap_factors_pct FROM pz)
 SELECT *, row_number() OVER (ORDER BY gap_pct, complex_id, dong) AS rank FROM rd"""
 
 QUERIES = {f.__name__: f for f in (ranked_offers, building_premiums, hedonic_folds, hedonic_gram, hedonic_stage_one, hedonic_levels, hedonic_stage_two, hedonic_residuals, hedonic_curves, hedonic_tests)}
