@@ -18,11 +18,20 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return best.select("_row.*").select(*old.columns)
 
 
+def _newest(columns: list[str]) -> list:
+    """Each column of the new row, or where that has none of the old one. A key has one row on each side at most."""
+    of = lambda c, side: F.max(F.when(F.col("_new") == side, F.col(f"`{c}`")))
+    return [F.coalesce(of(c, 1), of(c, 0)).alias(c) for c in columns]
+
+
 def seen(old: DataFrame, now: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """Snapshot of units: keys, first_seen, last_seen. now: the keys found on day."""
-    today = now.select(*keys).distinct().select(*keys, F.lit(day).alias("first_seen"), F.lit(day).alias("last_seen"))
-    both = old.select(*keys, "first_seen", "last_seen").unionByName(today)
-    return both.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    """Snapshot of units: keys, first_seen, last_seen, and what else old holds of a unit, as now tells it where it
+    does. now: the units found on day; rows that repeat a key count once."""
+    rest = [c for c in old.columns if c not in [*keys, "first_seen", "last_seen"]]
+    today = now.select(*keys, *(c for c in rest if c in now.columns)).dropDuplicates(keys).withColumns({"first_seen": F.lit(day), "last_seen": F.lit(day), "_new": F.lit(1)})
+    both = old.withColumn("_new", F.lit(0)).unionByName(today, allowMissingColumns=True)
+    per = both.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *_newest(rest))
+    return per.select(*old.columns)
 
 
 def gone(units: DataFrame, before: DataFrame, today: DataFrame, part: str, day: str) -> DataFrame:
@@ -39,9 +48,11 @@ def filled(table: DataFrame, details: DataFrame, keys: list[str], columns: list[
 
 
 def put(old: DataFrame, notes: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Notes by key: a new text replaces the old one, a blank text deletes it."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(notes.withColumn("_new", F.lit(1)))
-    best = both.groupBy(*keys).agg(F.max_by(text, "_new").alias(text))
+    """Notes by key: a new text replaces the old one, a blank text deletes it; other columns stay unless
+    notes tell them anew."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(notes.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in old.columns if c not in [*keys, text]]
+    best = both.groupBy(*keys).agg(F.max_by(text, "_new").alias(text), *_newest(rest))
     return best.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(*old.columns)
 
 

@@ -231,3 +231,12 @@ def test_normal_tail(spark):
 
     for z in (0.0, 0.5, -1.959963984540054, 4.0, 9.0):
         assert one(spark, scalars.normal_p(F.lit(z))) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-9)
+
+
+def test_merges_keep_what_else_is_known(spark):
+    units = spark.createDataFrame([(1, "d1", "d1", "old", 5), (2, "d1", "d2", "kept", 6)], "id int, first_seen string, last_seen string, use string, n int")
+    now = spark.createDataFrame([(1, "new"), (3, "fresh"), (3, "fresh")], "id int, use string")
+    assert {tuple(r) for r in merge.seen(units, now, ["id"], "d3").collect()} == {(1, "d1", "d3", "new", 5), (2, "d1", "d2", "kept", 6), (3, "d3", "d3", "fresh", None)}
+    notes = spark.createDataFrame([(1, "x", "a"), (2, "y", "b"), (4, "w", "d")], "id int, note string, who string")
+    told = spark.createDataFrame([(1, "z"), (2, " "), (3, "v")], "id int, note string")
+    assert {tuple(r) for r in merge.put(notes, told, ["id"], "note").collect()} == {(1, "z", "a"), (3, "v", None), (4, "w", "d")}
