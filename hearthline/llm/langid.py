@@ -12,7 +12,8 @@ the distinct words of a batch by dictionary encoding and remembers the log proba
 
 Rows: a text that is null or holds no letter is `und` with score 0; so is every text if there
 is nothing to learn from. Rows that repeat are predicted each; ties between languages go to the
-name that sorts first. Columns of the input are kept, but for lang_pred and score, which replace
+name that sorts first. Words of more than LONG letters teach nothing when pieces are fitted, a bound on
+the sample that is learned from; all words of a text are scored. Columns of the input are kept, but for lang_pred and score, which replace
 columns of these names.
 """
 

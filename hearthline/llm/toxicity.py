@@ -8,7 +8,9 @@ calibrated on the out-of-fold probabilities of all labelled rows; the models the
 a bounded number of rows of each class.
 
 The categories: two kinds of toxic texts, told apart by clustering the toxic rows' features, as
-labels don't name kinds; and toxic, which the labels give. (The labels' quality as a category before
+labels don't name kinds; and toxic, which the labels give. Clustering looks at the CLUSTER_SLOTS feature
+slots that most of the sampled toxic rows have, of those that speak for toxic, a bound on what is fitted; the
+models use every slot. (The labels' quality as a category before
 these was tried; it made the last link no better.)
 
 Rows: a text that is null or has no words has probabilities from the intercepts alone. Without
@@ -33,6 +35,7 @@ from hearthline.llm.memory import released
 
 CATEGORIES = ["kind_a", "kind_b", "toxic"]
 BITS = 20
+CLUSTER_SLOTS = 512  # that tell the kinds of toxic texts apart
 FOLDS = 3
 EVIDENCE = 4.5  # standard deviations from chance at which a slot may carry a weight
 ROWS_PER_CLASS = 4_000  # labelled rows that the chain learns from
@@ -139,7 +142,7 @@ def kinds(cols: np.ndarray, rows: np.ndarray, toxic: np.ndarray, rounds: int = 1
     n, rate = len(toxic), toxic.mean()
     seen, hit = np.bincount(cols, minlength=1 << BITS), np.bincount(cols, toxic[rows].astype(float), minlength=1 << BITS)
     kept = np.flatnonzero(hit - seen * rate > EVIDENCE * np.sqrt(seen * rate * (1 - rate) + 0.5))
-    kept = kept[np.argsort(-hit[kept], kind="stable")[:512]]
+    kept = kept[np.argsort(-hit[kept], kind="stable")[:CLUSTER_SLOTS]]
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
     use = place[cols] >= 0
