@@ -9,6 +9,7 @@ from hearthline.operators.asof import as_of, within
 from hearthline.sources.tables import daily_bars, monthly_series, table, trades
 
 LAG_QUARTERS = 3  # months until a quarter's figure is known
+REACH, FINEST = 2500, 9  # metres to a station; how often a cell as wide as that is halved
 #: Terms of office as (name, first day, last day); shared days belong to the later.
 TERMS = [("first", "1992-01-01", "1995-12-31"), ("second", "1995-12-31", "1997-06-30"), ("third", "1998-01-01", "1999-12-31"), ("fourth", "2000-01-01", None)]
 
@@ -182,19 +183,42 @@ g AS (SELECT c_custkey, n, mean - avg(mean) OVER (PARTITION BY c_mktsegment) AS
 SELECT c_custkey AS customer, n, CASE WHEN round(gap - half, 4) > 0 THEN 'pos' WHEN round(gap + half, 4) < 0 THEN 'neg' ELSE 'none' END AS sign FROM g"""
 
 
+def nearest(places: DataFrame, stations: DataFrame, reach: int, most: int) -> DataFrame:
+    """id, rank, station, metres: the nearest stations of each place within reach, `most` of them, equal metres by
+    station. places: id, x, y; stations: station, sx, sy; metres.
+
+    Equal places are looked up once, and of stations in one place only the first `most` can be shown. A place looks
+    in the smallest square cell around it that holds `most` stations: they lie within the cell's diagonal, so no nearer
+    one lies beyond two cells of that size. So a place meets about as many stations however dense they lie.
+    Where not even a cell as wide as the reach holds enough, that cell and those beside it are looked at."""
+    c = F.col
+    spots = stations.groupBy("sx", "sy").agg(F.slice(F.array_sort(F.collect_set("station")), 1, most).alias("ids"))
+    cell = lambda v, level: F.floor(v * F.pow(F.lit(2.0), level) / reach)  # noqa: E731  exact: halves of the reach
+    levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("level")
+    celled = lambda df, x, y: df.select("*", levels).withColumns({"cx": cell(c(x), c("level")), "cy": cell(c(y), c("level"))})
+    held = celled(spots, "sx", "sy")
+    full = held.groupBy("level", "cx", "cy").agg(F.sum(F.size("ids")).alias("n")).where(c("n") >= most)
+    own = places.select("x", "y").distinct()
+    finest = celled(own, "x", "y").join(full, ["level", "cx", "cy"]).groupBy("x", "y").agg(F.max("level").alias("level"))
+    around = own.join(finest, ["x", "y"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    wide = F.when(c("level") == 0, 1).otherwise(2)
+    step = lambda name: F.explode(F.sequence(-wide, wide)).alias(name)
+    around = around.select("*", step("dx")).select("*", step("dy")).select("x", "y", "level", (cell(c("x"), c("level")) + c("dx")).alias("cx"), (cell(c("y"), c("level")) + c("dy")).alias("cy"))
+    pairs = around.join(held, ["level", "cx", "cy"]).withColumn("metres", F.round(F.hypot(c("x") - c("sx"), c("y") - c("sy")), 3)).where(c("metres") <= reach)
+    near = pairs.select("x", "y", "metres", F.explode("ids").alias("station"))
+    order = Window.partitionBy("x", "y").orderBy("metres", "station")
+    ranks = near.withColumn("rank", F.row_number().over(order).cast("long")).where(c("rank") <= most)
+    return places.join(ranks, ["x", "y"]).select("id", "rank", "station", "metres")
+
+
 def near_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each complex's nearest five stations within 2.5 km, in metres on a grid of 88,800 and 111,000
-    metres a degree. Only stations of its own and the eight cells around it are looked at."""
-    reach = 2500
+    metres a degree."""
     place = lambda key, k: F.pmod(key * k, F.lit(9973)) * 4.0  # noqa: E731  metres; stands for coordinates
-    c = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("complex_id"), place(F.col("p_partkey").cast("long"), 7919).alias("x"), place(F.col("p_partkey").cast("long"), 4409).alias("y"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("station"), place(F.col("s_suppkey").cast("long"), 6701).alias("sx"), place(F.col("s_suppkey").cast("long"), 3557).alias("sy"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    c = c.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
-    s = s.withColumn("dx", around).withColumn("dy", around).select("station", "sx", "sy", (F.floor(F.col("sx") / reach) + F.col("dx")).alias("cx"), (F.floor(F.col("sy") / reach) + F.col("dy")).alias("cy"))
-    j = c.join(s, ["cx", "cy"]).withColumn("metres", F.round(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")), 3)).where(f"metres <= {reach}")
-    rank = F.row_number().over(Window.partitionBy("complex_id").orderBy("metres", "station"))
-    return j.withColumn("rank", rank.cast("long")).where("rank <= 5").select("complex_id", "rank", "station", "metres")
+    complex_id, station = F.col("p_partkey").cast("long"), F.col("s_suppkey").cast("long")
+    c = table(spark, sf_dir, "part").select(complex_id.alias("id"), place(complex_id, 7919).alias("x"), place(complex_id, 4409).alias("y"))
+    s = table(spark, sf_dir, "supplier").select(station.alias("station"), place(station, 6701).alias("sx"), place(station, 3557).alias("sy"))
+    return nearest(c, s, REACH, 5).withColumnRenamed("id", "complex_id")
 
 
 NEAR_STATIONS = """WITH c AS (SELECT p_partkey AS complex_id, (p_partkey * 7919 % 9973) * 4.0 AS x, (p_partkey * 4409 % 9973) * 4.0 AS y FROM part),
