@@ -7,8 +7,8 @@ exact base rules are taken as they are; of the others those are taken whose scor
 threshold of their kind, which is calibrated on held-out candidates to a precision.
 
 The trees learn from base spans (right) and from wide candidates that fail a check or that
-come from corrupted copies of base spans (wrong), over a bounded sample of documents. All of
-it is DataFrame functions and the ML library's JVM trees.
+come from corrupted copies of base spans (wrong), of all documents: examples with equal features are one,
+weighted by their number. All of it is DataFrame functions and the ML library's JVM trees.
 
 Rows: a null text is empty. Columns of the input other than the text are kept.
 """
@@ -24,7 +24,6 @@ from hearthline.llm.spans import listed, matches, whole_row
 from hearthline.storage import written
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE_DOCS = 20_000  # documents that the trees learn from
 PRECISION = 0.99
 
 JOIN = "\x01"  # stands for a separator inside a run, so that patterns need no loops over groups
@@ -122,27 +121,25 @@ def _spoiled(rows: DataFrame) -> DataFrame:
     return with_features(rows.select("doc_id", "tag", "rank", "start", "end", "base", value.alias("value"), "before", "after"))
 
 
-def train(found: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[GBTClassificationModel | None, list[float]]:
+def train(found: DataFrame) -> tuple[GBTClassificationModel | None, list[float]]:
     """found: candidates. The model, and the least score for each kind (2.0: none)."""
-    docs = found.select("doc_id").distinct().count()
-    share = min(1.0, sample_docs / max(docs, 1))
-    some = found.where(F.expr("pmod(xxhash64(doc_id), 1000000)") < share * 1_000_000)
-    right = some.where("base")
+    right = found.where("base")
     wrong = _spoiled(right).where("checks = 0 or rank in (0, 1, 3)")
-    strange = some.where("not base and checks = 0")
-    fields = ["doc_id", "rank", *FEATURES]
+    strange = found.where("not base and checks = 0")
+    held = F.expr("pmod(xxhash64(doc_id, 7), 4) = 0")
+    fields = ["rank", held.alias("held"), (~held | F.col("doc_id").isNull()).alias("learn"), *FEATURES]
     rows = right.select(*fields, F.lit(1.0).alias("label")).union(wrong.select(*fields, F.lit(0.0).alias("label"))).union(strange.select(*fields, F.lit(0.0).alias("label")))
-    rows = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("doc_id", "rank", "label", "features"), "examples")
+    rows = rows.groupBy("rank", "held", "learn", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+    rows = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("rank", "held", "learn", "label", "weight", "features"), "examples")
     kinds = rows.agg(F.countDistinct("label")).first()[0]
     if kinds < 2:
         return None, [2.0] * len(KINDS)
-    held = F.expr("pmod(xxhash64(doc_id, 7), 4) = 0")
-    learn = rows.where(~held | F.col("doc_id").isNull())
+    learn = rows.where("learn")
     if learn.agg(F.countDistinct("label")).first()[0] < 2:
         learn = rows
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=4, stepSize=0.3, seed=7).fit(learn)
-    scored = model.transform(rows.where(held)).select("rank", "label", F.round(vector_to_array("probability")[1], 2).alias("score"))
-    table = scored.groupBy("rank", "score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=8, maxDepth=4, stepSize=0.3, seed=7).fit(learn)
+    scored = model.transform(rows.where("held")).select("rank", "label", "weight", F.round(vector_to_array("probability")[1], 2).alias("score"))
+    table = scored.groupBy("rank", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("n")).collect()
     least = []
     for rank in range(len(KINDS)):
         best, right_n, n = 2.0, 0.0, 0
