@@ -8,9 +8,7 @@ word before it may name it. Nothing else of the layout matters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.sources.tables import PYEONG
 
@@ -25,178 +23,147 @@ FACINGS = ["남", "동", "서", "북"]  # from the best to the worst
 LEAST_M2, LEAST_MAN, MAN_OF_EOK = 10, 1000, 10_000
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), use)[0]
-
-
-def _number(x: Column, kind: str = "double") -> Column:
-    return F.regexp_replace(x, ",", "").try_cast(kind)
+#: Patterns of laid out tokens, each with the blank after it: a number below 1,000, one of 10 and more, one below 10; a
+#: type letter; units; a price for each pyeong after its number. A number of a price has 18 digits at most.
+ANY, BIG, SMALL = r"0*\d{1,3}(?:\.\d+)? ", rf"0*[1-9]\d{{{len(str(LEAST_M2)) - 1},2}}(?:\.\d+)? ", r"0*\d(?:\.\d+)? "
+LETTER, M2, FLAT = "(?:[A-Za-ln-z] )?+", "(?:㎡ |[mM] [2²] )", "평(?![대당])[^ ]* "
+STATED = rf"{MAN}[^ ]* / (?:3\.3 |평)"
+IN_M2, IN_PYEONG = f"{BIG}{LETTER}{M2}", f"{ANY}{LETTER}{FLAT}"
+KNOWN = f"(?<= )(?:{IN_M2}|{IN_PYEONG})"
+PAIR = f" (?={BIG}|{IN_PYEONG}|{ANY}{LETTER}{M2}?+/ {IN_PYEONG})({ANY}){LETTER}((?:{FLAT}|{M2})?+)/ (?:({BIG}){LETTER}{M2}|({ANY}){LETTER}{FLAT})"
+BLANK = " \t\r\f\v"
 
 
-def _is_number(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"^\d"), F.lit(False))
+def laid(text: Column) -> Column:
+    """The text as its tokens, a blank before and after each, as a token holds none. What readers look at is a pattern of
+    whole tokens, found from the left. A reader searches once and takes what it found apart."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.ltrim(text, F.lit(BLANK)), rf"({TOKEN})[^\S\n]*", "$1 "))
 
 
-def _starts(x: Column, word: str) -> Column:
-    return F.coalesce(x.startswith(word), F.lit(False))
+def _found(t: Column, pattern: str, group: int = 0) -> Column:
+    """What is found first, or an empty text."""
+    return F.regexp_extract(t, pattern, group)
 
 
-def _firsts(t: Column, of: Callable[[Column, Column], Column]) -> Column:
-    """What `of` gives for the first token that it gives anything for."""
-    return F.get(F.filter(F.transform(t, of), lambda x: x.isNotNull()), F.lit(0))
+def _part(found: Column, k: int) -> Column:
+    """The token at k (from 1) of what was found."""
+    return F.get(F.split(found, " "), F.lit(k))
 
 
-def _unit(t: Column, i: Column) -> Column:
-    """struct<unit, next> of the number at i: m2, pyeong or null, and the place after it. A letter between
-    is the home's type."""
-    letter = F.coalesce(F.get(t, i + 1).rlike("^[A-Za-ln-z]$"), F.lit(False))
+def _number(x: Column, kind: str = "double") -> Column:
+    return F.replace(x, F.lit(","), F.lit("")).try_cast(kind)
 
-    def at(j: Column) -> Column:
-        u = F.get(t, j)
-        square = F.lower(u) == "m"
-        m2 = (u == "㎡") | (square & F.get(t, j + 1).isin("2", "²"))
-        flat = _starts(u, "평") & ~_starts(u, "평대") & ~_starts(u, "평당")
-        unit = F.when(m2, "m2").when(flat, "pyeong")
-        return F.struct(unit.alias("unit"), F.when(m2 & square, j + 2).when(unit.isNotNull(), j + 1).otherwise(j).alias("next"))
 
-    return at(F.when(letter, i + 2).otherwise(i + 1))
+def _metres(value: Column, pyeong: Column) -> Column:
+    return F.when(pyeong, F.round(value * PYEONG, 2)).otherwise(value)
 
 
-def _metres(value: Column, unit: Column) -> Column:
-    return F.when(unit == "pyeong", F.round(value * PYEONG, 2)).otherwise(value)
+def _price_found(t: Column) -> Column:
+    return _found(t, rf" \d{{1,2}} {EOK}[^ ]* (?:\d[\d,]{{2,}} (?!{LETTER}(?:{M2}|{FLAT}))(?!/ \d))?+")
 
 
-def _stated(t: Column, i: Column) -> Column:
-    """Whether the number at i is a price for each pyeong: so many 만원 a 3.3 m2 or a 평."""
-    per = (F.get(t, i + 3) == "3.3") | _starts(F.get(t, i + 3), "평")
-    return F.coalesce(_starts(F.get(t, i + 1), MAN) & (F.get(t, i + 2) == "/") & per, F.lit(False))
+def _price(t: Column, found: Column) -> Column:
+    more = _number(_part(found, 3), "long")
+    least = r"(?=[\d,]*[1-9]" + r",*\d" * (len(str(LEAST_MAN)) - 1) + ")"
+    small = _found(t, rf"(?:^|(?<= )(?!{EOK})[^ ]+) {least}(?=\d+,)(\d(?:,*\d){{0,17}},*) (?!{STATED})", 1)
+    return F.when(found != "", _part(found, 1).try_cast("long") * MAN_OF_EOK + F.when(more < MAN_OF_EOK, more).otherwise(0)).otherwise(_number(small, "long"))
 
 
 def price(text: Column) -> Column:
     """In units of ten thousand: eok and what follows on the line, or a number with a comma."""
+    return _price(laid(text), _price_found(laid(text)))
 
-    def of(t: Column) -> Column:
-        def whole(x: Column, i: Column) -> Column:
-            rest = F.get(t, i + 2)
-            other = _unit(t, i + 2)["unit"].isNotNull() | (F.coalesce(F.get(t, i + 3) == "/", F.lit(False)) & _is_number(F.get(t, i + 4)))
-            more = F.when(_is_number(rest) & (F.length(rest) >= 3) & ~rest.contains(".") & ~other, _number(rest, "long"))
-            short = _is_number(x) & (F.length(x) <= 2) & _starts(F.get(t, i + 1), EOK)
-            return F.when(short, x.try_cast("long") * MAN_OF_EOK + F.when(more < MAN_OF_EOK, more).otherwise(0))
 
-        def small(x: Column, i: Column) -> Column:
-            value = _number(x, "long")
-            return F.when(_is_number(x) & x.contains(",") & ~x.contains(".") & (value >= LEAST_MAN) & ~_starts(F.get(t, i - 1), EOK) & ~_stated(t, i), value)
+def _bare(t: Column) -> Column:
+    """Without the number that a price is for, which is no area."""
+    return F.when(t.contains(" / 3.3 "), F.regexp_replace(t, rf" ({MAN}[^ ]* / )3\.3 ", " $1. ")).otherwise(t)
 
-        return F.coalesce(_firsts(t, whole), _firsts(t, small))
 
-    return _once(tokens(text), of)
+def _named(t: Column) -> Column:
+    return _found(t, f" {OWN} (?:{BIG}|{ANY}(?={LETTER}{FLAT}))(?:{LETTER}{FLAT}|{LETTER}{M2})?+")
 
 
-def areas(text: Column) -> Column:
-    """struct<exclusive, supply, explicit>: a number called exclusive, or the smaller of a pair, or
-    a number alone, which may be either. A number without a unit has that of its pair, or of the area before it."""
+def _known(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(KNOWN), 0)
 
-    def of(t: Column) -> Column:
-        def sized(x: Column, i: Column) -> Column:
-            u = _unit(t, i)
-            value = _number(x)
-            fits = _is_number(x) & ~x.contains(",") & (value < 1000)
-            big = (u["unit"] == "pyeong") | (value >= LEAST_M2)
-            return F.when(fits, F.struct(i.alias("at"), value.alias("value"), F.when(big, u["unit"]).alias("unit"), u["next"].alias("next"), F.coalesce(F.get(t, i - 1) == OWN, F.lit(False)).alias("own")))
 
-        def read(q: Column) -> Column:
-            known = F.filter(q, lambda x: x["unit"].isNotNull())
+def _own(t: Column, named: Column) -> Column:
+    """The number called exclusive has its own unit, or that of the last area before it; one below 10 is in pyeong."""
+    before = F.when(named != "", F.concat(F.call_function("substring_index", t, named, F.lit(1)), F.lit(" "))).otherwise(t)
+    last = before.contains("평") & (_found(before, f"(?s)^.* (?:{BIG}{LETTER}{M2}|{ANY}{LETTER}({FLAT}))", 1) != "")
+    own = _metres(_part(named, 2).try_cast("double"), F.when(_part(named, 4).isNotNull(), named.contains("평")).otherwise(last))
+    late = f"(?<= ){IN_PYEONG}(?:(?!{IN_M2}|{IN_PYEONG})[^ ]+ )*?{OWN} ({SMALL})"
+    return F.coalesce(F.when(t.contains("평") & t.rlike(f" {OWN} {SMALL}"), _metres(F.trim(_found(before, late, 1)).try_cast("double"), F.lit(True))), own)
 
-            def named(x: Column) -> Column:
-                before = F.get(F.filter(known, lambda y: y["at"] < x["at"]), F.size(F.filter(known, lambda y: y["at"] < x["at"])) - 1)
-                unit = F.coalesce(x["unit"], before["unit"], F.lit("m2"))
-                return F.when(x["own"] & ((unit == "pyeong") | (x["value"] >= LEAST_M2)), _metres(x["value"], unit))
 
-            def paired(x: Column) -> Column:
-                right = F.get(F.filter(known, lambda y: (y["at"] == x["next"] + 1) & (F.get(t, x["next"]) == "/")), F.lit(0))
-                unit = F.coalesce(x["unit"], right["unit"])
-                both = F.struct(_metres(x["value"], unit).alias("a"), _metres(right["value"], right["unit"]).alias("b"))
-                return F.when(right.isNotNull() & ((unit == "pyeong") | (x["value"] >= LEAST_M2)), both)
+def _areas(t: Column, own: Column, known: Column) -> Column:
+    part = lambda k: F.when(own.isNull() & t.contains(" / "), F.trim(_found(t, PAIR, k)))
+    left, in_m2, in_pyeong = (part(k).try_cast("double") for k in (1, 3, 4))
+    a = _metres(left, F.when(part(2).startswith("평"), True).when((part(2) != "") & (left >= LEAST_M2), False).otherwise(in_pyeong.isNotNull()))
+    b = F.coalesce(in_m2, _metres(in_pyeong, F.lit(True)))
+    size = lambda x: _metres(F.substring_index(x, " ", 1).try_cast("double"), x.contains("평"))
+    one = size(F.get(known, F.lit(0)))
+    larger = F.when(F.size(known) == 1, F.when(one > own, one)).otherwise(F.array_min(F.filter(F.transform(known, size), lambda x: x > own)))
+    supply = F.when(own.isNotNull(), larger).when(left.isNotNull(), F.greatest(a, b))
+    exclusive = F.coalesce(own, F.when(left.isNotNull(), F.least(a, b)), one)
+    return F.struct(exclusive.alias("exclusive"), supply.alias("supply"), (own.isNotNull() | left.isNotNull()).alias("explicit"))
 
-            first = lambda f: F.get(F.filter(F.transform(q, f), lambda x: x.isNotNull()), F.lit(0))
-            metres = F.transform(known, lambda x: _metres(x["value"], x["unit"]))
 
-            def chosen(c: Column) -> Column:
-                own, pair = c["own"], c["pair"]
-                larger = F.array_min(F.filter(metres, lambda x: x > own))
-                supply = F.when(own.isNotNull(), larger).when(pair.isNotNull(), F.greatest(pair["a"], pair["b"]))
-                exclusive = F.coalesce(own, F.least(pair["a"], pair["b"]), F.get(metres, F.lit(0)))
-                return F.struct(exclusive.alias("exclusive"), supply.alias("supply"), (own.isNotNull() | pair.isNotNull()).alias("explicit"))
+def areas(text: Column) -> Column:
+    """struct<exclusive, supply, explicit>: a number called exclusive, or the smaller of a pair, or
+    a number alone, which may be either. A number without a unit has that of its pair, or of the area before it."""
+    t = _bare(laid(text))
+    return _areas(t, _own(t, _named(t)), _known(t))
 
-            return _once(F.struct(first(named).alias("own"), first(paired).alias("pair")), chosen)
 
-        return _once(F.filter(F.transform(t, sized), lambda x: x.isNotNull() & ~_stated(t, x["at"] - 3)), read)
+def _floor_found(t: Column) -> Column:
+    return _found(t, rf" (?:(?:\d{{1,2}}|[{''.join(BANDS)}]) / \d{{1,2}}|(?<! / )\d{{1,2}}) {FLOOR}")
 
-    return _once(tokens(text), of)
+
+def _floors(t: Column, found: Column) -> Column:
+    word = lambda x: F.coalesce(*(F.when(x == k, v) for k, v in BANDS.items()))
+    first = _part(found, 1)
+    band = F.when(found != "", word(first)).otherwise(word(_found(t, rf" ([{''.join(BANDS)}]){FLOOR}", 1)))
+    return F.struct(first.try_cast("long").alias("floor"), F.when(_part(found, 2) == "/", _part(found, 3)).try_cast("long").alias("top"), band.alias("band"))
 
 
 def floors(text: Column) -> Column:
     """struct<floor, top, band>: of a pair the first is the floor, or the word for its height; a word alone where no number is."""
+    return _floors(laid(text), _floor_found(laid(text)))
 
-    def of(t: Column) -> Column:
-        small = lambda x: _is_number(x) & F.coalesce(x.rlike(r"^\d{1,2}$"), F.lit(False))
-        word = lambda x: F.get(F.array(*(F.lit(v) for v in BANDS.values())), F.array_position(F.array(*map(F.lit, BANDS)), x).cast("int") - 1)
 
-        def placed(x: Column, i: Column) -> Column:
-            before = F.get(t, i - 2)
-            pair = F.coalesce(F.get(t, i - 1) == "/", F.lit(False)) & (small(before) | F.coalesce(before.isin(*BANDS), F.lit(False)))
-            lone = ~F.coalesce(F.get(t, i - 1) == "/", F.lit(False))
-            out = F.struct(
-                F.when(pair & small(before), before).when(~pair, x).try_cast("long").alias("floor"), F.when(pair, x).try_cast("long").alias("top"), F.when(pair & ~small(before), word(before)).alias("band"),
-            )
-            return F.when(small(x) & _starts(F.get(t, i + 1), FLOOR) & (pair | lone), out)
+def with_readings(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The kept columns with laid (the text's tokens, which the other readers take), price, area and floor: what
+    price(), areas() and floors() give, but what several of them need is sought once."""
+    c = F.col
+    out = rows.select(*keep, laid(text).alias("laid")).withColumn("bare", _bare(c("laid")))
+    out = out.withColumns({"named": _named(c("bare")), "known": _known(c("bare")), "at_price": _price_found(c("laid")), "at_floor": _floor_found(c("laid"))}).withColumn("own", _own(c("bare"), c("named")))
+    return out.select(*keep, "laid", _price(c("laid"), c("at_price")).alias("price"), _areas(c("bare"), c("own"), c("known")).alias("area"), _floors(c("laid"), c("at_floor")).alias("floor"))
 
-        alone = _firsts(t, lambda x, _: F.when(F.length(x) >= 2, F.when(F.substring(x, 2, 1) == FLOOR, word(F.substring(x, 1, 1)))))
-        return F.coalesce(_firsts(t, placed), F.struct(F.lit(None).cast("long").alias("floor"), F.lit(None).cast("long").alias("top"), alone.alias("band")))
 
-    return _once(tokens(text), of)
+# A reader below takes a text, or one that is laid already.
 
 
-def building(text: Column) -> Column:
+def building(text: Column, is_laid: bool = False) -> Column:
     """The building's number or letter, on the first line only."""
+    line = F.substring_index(text if is_laid else laid(text), "\n", 1)
+    return F.nullif(_found(line, rf" (\d{{1,4}}(?= {BUILDING} )|[A-Za-z](?= {BUILDING} )|[가-하](?={BUILDING} ))", 1), F.lit(""))
 
-    def of(t: Column) -> Column:
-        def named(x: Column, i: Column) -> Column:
-            short = F.coalesce(x.rlike(r"^(\d{1,4}|[A-Za-z])$"), F.lit(False)) & (F.get(t, i + 1) == BUILDING)
-            return F.when(short, x).when((F.length(x) == 2) & x.rlike(f"^[가-하]{BUILDING}$"), F.substring(x, 1, 1))
-
-        return _firsts(t, named)
 
-    return _once(tokens(F.get(F.split(F.trim(text), r"\r?\n"), F.lit(0))), of)
-
-
-def stated_price(text: Column) -> Column:
+def stated_price(text: Column, is_laid: bool = False) -> Column:
     """The price a pyeong that the text states."""
-    return _once(tokens(text), lambda t: _firsts(t, lambda x, i: F.when(_is_number(x) & _stated(t, i), _number(x, "long"))))
+    return _number(_found(text if is_laid else laid(text), rf" (\d(?:,*\d){{0,17}},*) {STATED}", 1), "long")
 
 
-def facing(text: Column) -> Column:
+def facing(text: Column, is_laid: bool = False) -> Column:
     """Right after the floor; elsewhere it is the agent's word."""
-    known = F.array(*(F.lit(f"{d}향") for d in DIRECTIONS))
-
-    def of(t: Column) -> Column:
-        def after(x: Column, i: Column) -> Column:
-            glued, apart = F.substring(x, 2, 3), F.get(t, i + 1)
-            return F.when(_starts(x, FLOOR) & F.array_contains(known, glued), glued).when((x == FLOOR) & F.array_contains(known, apart), apart)
-
-        return _firsts(t, after)
-
-    return _once(tokens(text), of)
+    two, one = ("|".join(d for d in DIRECTIONS if len(d) == k) for k in (2, 1))
+    return F.nullif(_found(text if is_laid else laid(text), f" {FLOOR}(?: (?=(?:{two}|{one})향 )|(?=(?:{two})향|(?:{one})향 ))((?:{two}|{one})향)", 1), F.lit(""))
 
 
 def facing_group(x: Column) -> Column:
     """Of two directions the worse."""
-    ranks = F.transform(F.split(F.regexp_replace(F.trim(x), "향$", ""), ""), lambda c: F.array_position(F.array(*map(F.lit, FACINGS)), c))
-    return F.get(F.array(*map(F.lit, FACINGS)), F.nullif(F.array_max(ranks).cast("int"), F.lit(0)) - 1)
+    return F.coalesce(*(F.when(x.contains(f), f) for f in reversed(FACINGS)))
 
 
 def name_key(name: Column) -> Column:

@@ -59,11 +59,10 @@ def parsed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("만원/3.3㎡평당가 도움말\n아파트"), (c("l_quantity").cast("long") + 90).cast("string"), F.lit("B㎡ (전용"), (c("l_quantity").cast("long") + 20).cast("string"), F.lit("A)"), c("l_linenumber").cast("string"), F.lit("/25층"),
         F.element_at(F.array(*map(F.lit, ["남동", "북", "서"])), (c("l_linenumber") % 3 + 1).cast("int")), F.lit("향"),
     )
-    rows = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", text.alias("t"))
-    rows = rows.withColumns({"area": listings.areas(c("t")), "floor": listings.floors(c("t"))})
+    rows = listings.with_readings(_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", text.alias("text")), c("text"), "l_orderkey", "l_linenumber")
     return rows.select(
-        "l_orderkey", "l_linenumber", listings.price(c("t")).alias("price"), c("area.exclusive").alias("exclusive"), c("area.supply").alias("supply"), c("floor.floor").alias("floor"), c("floor.top").alias("top"),
-        listings.building(c("t")).alias("building"), listings.stated_price(c("t")).alias("stated"), listings.facing_group(listings.facing(c("t"))).alias("facing"),
+        "l_orderkey", "l_linenumber", "price", c("area.exclusive").alias("exclusive"), c("area.supply").alias("supply"), c("floor.floor").alias("floor"), c("floor.top").alias("top"),
+        listings.building(c("laid"), True).alias("building"), listings.stated_price(c("laid"), True).alias("stated"), listings.facing_group(listings.facing(c("laid"), True)).alias("facing"),
     )
 
 
