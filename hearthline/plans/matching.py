@@ -28,7 +28,7 @@ def _day(line: Column, pattern: str, today: Column) -> Column:
     part = lambda k: F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
     year = F.when(F.length(part(1)) == 2, F.concat(F.lit("20"), part(1))).otherwise(part(1))
     day = F.try_to_date(F.concat_ws("-", year, F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
-    return F.struct(line.rlike(pattern).alias("found"), F.when(day <= today, day).alias("day"))
+    return F.when(day <= today, day)
 
 
 def split(lines: DataFrame, today: str) -> DataFrame:
@@ -38,28 +38,32 @@ def split(lines: DataFrame, today: str) -> DataFrame:
     else any, else so many days ago; a date to come is none."""
     c = F.col
     every = Window.partitionBy("paste").orderBy("no")
-    filled = lines.withColumn("said", F.trim(F.regexp_replace("line", r"[\r\t]", " ")) != "")
-    solid = filled.where("said").withColumn("next", F.lead("line").over(every)).withColumn("head", F.coalesce(c("next").rlike(rf"^\s*({DEALS})\s*[\d억]"), F.lit(False)))
-    blocks = solid.withColumn("block", F.sum(c("head").cast("long")).over(every)).where("block > 0")
-    own = Window.partitionBy("paste", "block").orderBy("no")
-    body = c("line") != F.lit(FENCE)
+    so_far = every.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fence = F.trim("line") == FENCE
-    told = blocks.withColumns({"at": F.row_number().over(own), "fences": F.sum(fence.cast("long")).over(own), "spec_at": F.max(F.when(F.row_number().over(own) == 3, c("no"))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    solid = lines.where(c("line").rlike(r"[^ \r\t]")).withColumns({"next": F.lead("line").over(every), "row": F.row_number().over(every), "all_fences": F.sum(fence.cast("long")).over(so_far)})
+    # what is counted within a block is counted from the paste's beginning, less what was counted at the block's head: one order serves all
+    headed = solid.withColumn("head", F.coalesce(c("next").rlike(rf"^\s*({DEALS})\s*[\d억]"), F.lit(False)))
+    headed = headed.withColumns({"block": F.sum(c("head").cast("long")).over(so_far), "from": F.max(F.when(c("head"), F.struct("row", (c("all_fences") - fence.cast("long")).alias("fences")))).over(so_far)})
+    placed = headed.where("block > 0").withColumns({"at": c("row") - c("from.row") + 1, "fences": c("all_fences") - c("from.fences")})
+    told = placed.withColumn("spec_at", F.max(F.when(c("at") == 3, c("no"))).over(so_far))
     day = F.lit(today).cast("date")
     spec = (c("at") >= 3) & (c("no") < c("spec_at") + SPEC_LINES) & c("line").rlike(SPEC)
-    first = lambda value, when: F.min_by(value, F.when(when, c("no")))
-    checked, dated = _day(c("line"), CHECKED_DATE, day), _day(c("line"), DATE, day)
-    ago = F.regexp_extract("line", AGO, 1).try_cast("int") * F.when(F.regexp_extract("line", AGO, 2) == "일", 1).when(F.regexp_extract("line", AGO, 2) == "주", 7).otherwise(30)
-    per = told.groupBy("paste", "block").agg(
-        first(c("line"), c("at") == 1).alias("name"), first(c("line"), c("at") == 2).alias("price"), first(c("line"), spec).alias("spec"), F.count_if(fence).alias("closed"),
-        first(checked, checked["found"]).alias("checked"), first(dated, dated["found"]).alias("dated"), first(F.date_sub(day, ago), c("line").rlike(AGO)).alias("past"),
-        F.array_sort(F.collect_list(F.when(~fence & body & (c("fences") > 0), F.struct("fences", "no", F.trim("line").alias("line"))))).alias("notes"),
+    first = lambda when: F.min(F.when(when, F.struct("no", "line")))["line"]
+    # a line that says nothing is left out of the aggregate; the days of what is found are read after it
+    said = {"is_spec": spec, "is_checked": c("line").rlike(CHECKED_DATE), "is_dated": c("line").rlike(DATE), "is_past": c("line").rlike(AGO), "is_fence": fence}
+    noted = ~c("is_fence") & (c("line") != F.lit(FENCE)) & (c("fences") > 0)
+    marked = told.select("paste", "block", "no", "at", "fences", "line", *(v.alias(k) for k, v in said.items())).where((c("at") <= 2) | c("is_spec") | c("is_checked") | c("is_dated") | c("is_past") | (c("fences") > 0))
+    per = marked.groupBy("paste", "block").agg(
+        first(c("at") == 1).alias("name"), first(c("at") == 2).alias("price"), first(c("is_spec")).alias("spec"), F.count_if("is_fence").alias("closed"),
+        first(c("is_checked")).alias("checked_line"), first(c("is_dated")).alias("dated_line"), first(c("is_past")).alias("past_line"),
+        F.array_sort(F.collect_list(F.when(noted, F.struct("fences", "no", F.trim("line").alias("line"))))).alias("notes"),
     )
     inside = F.filter("notes", lambda x: x["fences"] < c("closed"))
     memo = F.array_join(F.transform(F.filter(inside, lambda x: x["fences"] == inside[0]["fences"]), lambda x: x["line"]), " ")
     text = F.concat_ws("\n", "name", "price", "spec")
-    when = F.when(c("checked.found"), c("checked.day")).when(c("dated.found"), c("dated.day")).otherwise(c("past"))
-    return per.select("paste", "block", text.alias("text"), when.alias("confirmed_on"), F.when(F.size(inside) > 0, F.substring(memo, 1, MEMO_LENGTH)).alias("memo"))
+    ago = F.regexp_extract("past_line", AGO, 1).try_cast("int") * F.when(F.regexp_extract("past_line", AGO, 2) == "일", 1).when(F.regexp_extract("past_line", AGO, 2) == "주", 7).otherwise(30)
+    when = F.when(c("checked_line").isNotNull(), _day(c("checked_line"), CHECKED_DATE, day)).when(c("dated_line").isNotNull(), _day(c("dated_line"), DATE, day)).otherwise(F.date_sub(day, ago))
+    return per.select("paste", "block", text.alias("text"), when.alias("confirmed_on"), F.when(F.size(c("notes")) > 0, F.when(F.size(inside) > 0, F.substring(memo, 1, MEMO_LENGTH))).alias("memo"))
 
 
 # ---- names
@@ -155,25 +159,24 @@ def pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
     memo = F.concat(F.lit("급매 피"), c("l_partkey").cast("string"), F.lit(" 확정"))
     date = F.concat(F.lit("집주인확인매물 "), F.date_format(F.add_months(F.col("l_shipdate").cast("date"), 120), "yyyy.MM.dd"))
     layouts = [
-        F.array(head, price, spec), F.array(head, F.lit(""), price, spec, F.lit(FENCE), memo, F.lit(FENCE), date), F.array(F.lit("공유하기"), head, price, F.lit("알림관심매물"), spec, date),
-        F.array(head, price, spec, F.lit("임대분양가27,000 홍보문구"), F.lit(FENCE), F.lit(FENCE), memo, F.lit(FENCE)), F.array(head, price, spec, F.lit(FENCE), memo, F.lit("")),
+        [head, price, spec], [head, F.lit(""), price, spec, F.lit(FENCE), memo, F.lit(FENCE), date], [F.lit("공유하기"), head, price, F.lit("알림관심매물"), spec, date],
+        [head, price, spec, F.lit("임대분양가27,000 홍보문구"), F.lit(FENCE), F.lit(FENCE), memo, F.lit(FENCE)], [head, price, spec, F.lit(FENCE), memo, F.lit("")],
     ]
     kind = (c("l_partkey") + c("l_linenumber")) % len(layouts)
-    chosen = F.when(kind == 0, layouts[0])
-    for k, layout in enumerate(layouts[1:], 1):
-        chosen = chosen.when(kind == k, layout)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row"), chosen.alias("lines"))
-    line = Window.partitionBy("paste").orderBy("row", "o")
-    return rows.select(c("l_orderkey").alias("paste"), "row", F.posexplode("lines").alias("o", "line")).withColumn("no", F.row_number().over(line)).select("paste", "no", "line")
+    chosen = F.coalesce(*(F.when(kind == k, F.array(*layout)) for k, layout in enumerate(layouts)))
+    length = F.coalesce(*(F.when(kind == k, len(layout)) for k, layout in enumerate(layouts)))
+    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = table(spark, sf_dir, "lineitem").withColumn("before", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    return rows.select(c("l_orderkey").alias("paste"), "before", F.posexplode(chosen).alias("o", "line")).select("paste", (c("before") + c("o") + 1).alias("no"), "line")
 
 
 def pasted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's list split into listings, and each listing read."""
     c = F.col
-    found = split(pastes(spark, sf_dir), "2020-01-01").withColumns({"area": listings.areas(c("text")), "floor": listings.floors(c("text"))})
+    found = listings.with_readings(split(pastes(spark, sf_dir), "2020-01-01"), c("text"), "paste", "block", "confirmed_on", "memo")
     return found.select(
-        "paste", "block", listings.price(c("text")).alias("price"), c("area.exclusive").alias("exclusive"), c("area.supply").alias("supply"), c("floor.floor").alias("floor"), c("floor.top").alias("top"),
-        listings.building(c("text")).alias("building"), listings.facing(c("text")).alias("facing"), c("confirmed_on").cast("string").alias("confirmed_on"), "memo",
+        "paste", "block", "price", c("area.exclusive").alias("exclusive"), c("area.supply").alias("supply"), c("floor.floor").alias("floor"), c("floor.top").alias("top"),
+        listings.building(c("laid"), True).alias("building"), listings.facing(c("laid"), True).alias("facing"), c("confirmed_on").cast("string").alias("confirmed_on"), "memo",
     )
 
 

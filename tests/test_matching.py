@@ -59,3 +59,9 @@ def test_a_building_tells_namesakes_apart(spark):
     got = {r["id"]: (r["candidates"], r["matched"], r["exact"], r["complex_id"]) for r in matching.resolved(found, texts, buildings).collect()}
     assert got == {1: ("10,11", 4, True, 10), 2: ("10,11", 4, True, None), 3: ("12", 5, False, None), 4: ("13,10", 6, True, 13)}
     assert matching.candidates(texts.select("id", F.lit("abc").alias("key")).limit(0), buildings.select("complex_id", F.lit("abc").alias("key"))).count() == 0
+
+
+def test_one_order_of_a_paste_serves_all_counts(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(CARD.split("\n"))], "paste long, no long, line string")
+    plan = matching.split(lines, "2026-10-15")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(paste" in plan and not any("block#" in spec.split("no#")[0] for spec in plan.split("windowspecdefinition(")[1:])
