@@ -29,7 +29,7 @@ ANY, BIG, SMALL = r"0*\d{1,3}(?:\.\d+)? ", rf"0*[1-9]\d{{{len(str(LEAST_M2)) - 1
 LETTER, M2, FLAT = "(?:[A-Za-ln-z] )?+", "(?:㎡ |[mM] [2²] )", "평(?![대당])[^ ]* "
 STATED = rf"{MAN}[^ ]* / (?:3\.3 |평)"
 IN_M2, IN_PYEONG = f"{BIG}{LETTER}{M2}", f"{ANY}{LETTER}{FLAT}"
-KNOWN = f"(?<= )(?:{IN_M2}|{IN_PYEONG})"
+KNOWN = rf"\b(?=\d)(?<= )(?:{IN_M2}|{IN_PYEONG})"  # what begins a token is seen first, as that costs least
 PAIR = f" (?={BIG}|{IN_PYEONG}|{ANY}{LETTER}{M2}?+/ {IN_PYEONG})({ANY}){LETTER}((?:{FLAT}|{M2})?+)/ (?:({BIG}){LETTER}{M2}|({ANY}){LETTER}{FLAT})"
 BLANK = " \t\r\f\v"
 
@@ -37,7 +37,7 @@ BLANK = " \t\r\f\v"
 def laid(text: Column) -> Column:
     """The text as its tokens, a blank before and after each, as a token holds none. What readers look at is a pattern of
     whole tokens, found from the left. A reader searches once and takes what it found apart."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.ltrim(text, F.lit(BLANK)), rf"({TOKEN})[^\S\n]*", "$1 "))
+    return F.concat(F.lit(" "), F.regexp_replace(F.ltrim(text, F.lit(BLANK)), rf"({TOKEN})[ \t\x0B\f\r]*+", "$1 "))
 
 
 def _found(t: Column, pattern: str, group: int = 0) -> Column:

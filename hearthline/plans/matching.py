@@ -7,10 +7,14 @@ matched without comparing every text with every name: a text's stretches of lett
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hearthline.functions import listings
+from hearthline.operators import blocks
 from hearthline.sources.tables import complexes, table, trades
+from hearthline.storage import LINES, ship
 
 #: Words of a price line, of a specification, of a checked date; the line that fences a memo.
 DEALS, SPEC, CHECKED, FENCE = "매매|전세|월세", "㎡|평|층", "확인", '"'
@@ -18,52 +22,28 @@ SPEC_LINES, MEMO_LENGTH = 3, 300
 DATE = r"(20\d\d)\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})"
 CHECKED_DATE = CHECKED + r"[^\d]{0,8}(20\d\d|\d\d)\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})"
 AGO = r"(\d{1,3})\s*(일|주|개월)\s*전"
+AGO_DAYS = {"일": 1, "주": 7, "개월": 30}
+MARKS = blocks.Marks(blocks.regex(rf"\A\s*(?:{DEALS})\s*[\d억]"), SPEC, (blocks.regex(CHECKED_DATE), blocks.regex(DATE), blocks.regex(AGO)), AGO_DAYS, FENCE, SPEC_LINES, MEMO_LENGTH)
 BUILDING = r"\s*(?:\d{1,4}|[가-힣])\s*동\s*$"
 #: The least letters of a name inside a text, of a shared beginning; candidates that are shown.
 INSIDE, SHARED, SHOWN = 3, 4, 6
 MERGED = 12  # ids that a beginning keeps: more than are shown
 
 
-def _day(line: Column, pattern: str, today: Column) -> Column:
-    part = lambda k: F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
-    year = F.when(F.length(part(1)) == 2, F.concat(F.lit("20"), part(1))).otherwise(part(1))
-    day = F.try_to_date(F.concat_ws("-", year, F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
-    return F.when(day <= today, day)
-
-
 def split(lines: DataFrame, today: str) -> DataFrame:
     """paste, block (from 1), text (name, price and specification lines), confirmed_on, memo. lines: paste, no, line.
 
     A memo stands between two fence lines; one that isn't closed is none. The date is one that is called checked,
     else any, else so many days ago; a date to come is none."""
     c = F.col
-    every = Window.partitionBy("paste").orderBy("no")
-    so_far = every.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.trim("line") == FENCE
-    solid = lines.where(c("line").rlike(r"[^ \r\t]")).withColumns({"next": F.lead("line").over(every), "row": F.row_number().over(every), "all_fences": F.sum(fence.cast("long")).over(so_far)})
-    # what is counted within a block is counted from the paste's beginning, less what was counted at the block's head: one order serves all
-    headed = solid.withColumn("head", F.coalesce(c("next").rlike(rf"^\s*({DEALS})\s*[\d억]"), F.lit(False)))
-    headed = headed.withColumns({"block": F.sum(c("head").cast("long")).over(so_far), "from": F.max(F.when(c("head"), F.struct("row", (c("all_fences") - fence.cast("long")).alias("fences")))).over(so_far)})
-    placed = headed.where("block > 0").withColumns({"at": c("row") - c("from.row") + 1, "fences": c("all_fences") - c("from.fences")})
-    told = placed.withColumn("spec_at", F.max(F.when(c("at") == 3, c("no"))).over(so_far))
-    day = F.lit(today).cast("date")
-    spec = (c("at") >= 3) & (c("no") < c("spec_at") + SPEC_LINES) & c("line").rlike(SPEC)
-    first = lambda when: F.min(F.when(when, F.struct("no", "line")))["line"]
-    # a line that says nothing is left out of the aggregate; the days of what is found are read after it
-    said = {"is_spec": spec, "is_checked": c("line").rlike(CHECKED_DATE), "is_dated": c("line").rlike(DATE), "is_past": c("line").rlike(AGO), "is_fence": fence}
-    noted = ~c("is_fence") & (c("line") != F.lit(FENCE)) & (c("fences") > 0)
-    marked = told.select("paste", "block", "no", "at", "fences", "line", *(v.alias(k) for k, v in said.items())).where((c("at") <= 2) | c("is_spec") | c("is_checked") | c("is_dated") | c("is_past") | (c("fences") > 0))
-    per = marked.groupBy("paste", "block").agg(
-        first(c("at") == 1).alias("name"), first(c("at") == 2).alias("price"), first(c("is_spec")).alias("spec"), F.count_if("is_fence").alias("closed"),
-        first(c("is_checked")).alias("checked_line"), first(c("is_dated")).alias("dated_line"), first(c("is_past")).alias("past_line"),
-        F.array_sort(F.collect_list(F.when(noted, F.struct("fences", "no", F.trim("line").alias("line"))))).alias("notes"),
-    )
-    inside = F.filter("notes", lambda x: x["fences"] < c("closed"))
-    memo = F.array_join(F.transform(F.filter(inside, lambda x: x["fences"] == inside[0]["fences"]), lambda x: x["line"]), " ")
-    text = F.concat_ws("\n", "name", "price", "spec")
-    ago = F.regexp_extract("past_line", AGO, 1).try_cast("int") * F.when(F.regexp_extract("past_line", AGO, 2) == "일", 1).when(F.regexp_extract("past_line", AGO, 2) == "주", 7).otherwise(30)
-    when = F.when(c("checked_line").isNotNull(), _day(c("checked_line"), CHECKED_DATE, day)).when(c("dated_line").isNotNull(), _day(c("dated_line"), DATE, day)).otherwise(F.date_sub(day, ago))
-    return per.select("paste", "block", text.alias("text"), when.alias("confirmed_on"), F.when(F.size(c("notes")) > 0, F.when(F.size(inside) > 0, F.substring(memo, 1, MEMO_LENGTH))).alias("memo"))
+    ship(lines.sparkSession, LINES)
+    kind = {f.name: f.dataType.simpleString() for f in lines.schema}
+    solid = lines.where(c("line").rlike(r"[^ \r\t]")).select("paste", c("no").cast("long").alias("no"), "line")
+    # one order of a paste serves all that is counted in it
+    placed = solid.withColumn("row", F.row_number().over(Window.partitionBy("paste").orderBy("no")).cast("long"))
+    days = (date.fromisoformat(today) - date(1970, 1, 1)).days
+    per = placed.mapInArrow(blocks.splitter(MARKS, days), f"paste {kind['paste']}, block long, name string, price string, spec string, confirmed_on date, memo string")
+    return per.select("paste", "block", F.concat_ws("\n", "name", "price", "spec").alias("text"), "confirmed_on", "memo")
 
 
 # ---- names
@@ -157,17 +137,21 @@ def pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.concat(F.lit("매매 "), (F.floor(c("l_extendedprice") / 10000) + 1).cast("string"), F.lit("억 "), F.floor(man / 1000).cast("string"), F.lit(","), F.lpad((man % 1000).cast("string"), 3, "0"))
     spec = F.concat(F.lit("아파트"), (c("l_quantity").cast("long") + 90).cast("string"), F.lit("㎡ (전용"), (c("l_quantity").cast("long") + 20).cast("string"), F.lit(")"), c("l_linenumber").cast("string"), F.lit("/25층남향"))
     memo = F.concat(F.lit("급매 피"), c("l_partkey").cast("string"), F.lit(" 확정"))
-    date = F.concat(F.lit("집주인확인매물 "), F.date_format(F.add_months(F.col("l_shipdate").cast("date"), 120), "yyyy.MM.dd"))
+    day = F.concat(F.lit("집주인확인매물 "), F.date_format(F.add_months(F.col("l_shipdate").cast("date"), 120), "yyyy.MM.dd"))
+    # the parts of a listing are columns of their own: one method with the texts of all layouts would be too long to be compiled
+    texts = {"공유하기", "알림관심매물", "임대분양가27,000 홍보문구", FENCE, ""}
     layouts = [
-        [head, price, spec], [head, F.lit(""), price, spec, F.lit(FENCE), memo, F.lit(FENCE), date], [F.lit("공유하기"), head, price, F.lit("알림관심매물"), spec, date],
-        [head, price, spec, F.lit("임대분양가27,000 홍보문구"), F.lit(FENCE), F.lit(FENCE), memo, F.lit(FENCE)], [head, price, spec, F.lit(FENCE), memo, F.lit("")],
+        ["head", "price", "spec"], ["head", "", "price", "spec", FENCE, "memo", FENCE, "date"], ["공유하기", "head", "price", "알림관심매물", "spec", "date"],
+        ["head", "price", "spec", "임대분양가27,000 홍보문구", FENCE, FENCE, "memo", FENCE], ["head", "price", "spec", FENCE, "memo", ""],
     ]
     kind = (c("l_partkey") + c("l_linenumber")) % len(layouts)
-    chosen = F.coalesce(*(F.when(kind == k, F.array(*layout)) for k, layout in enumerate(layouts)))
+    holds = lambda part: kind.isin([k for k, layout in enumerate(layouts) if part in layout])
+    parts = {"head": head, "price": price, "spec": spec, "memo": F.when(holds("memo"), memo), "date": F.when(holds("date"), day), "kind": kind}
+    chosen = F.coalesce(*(F.when(c("kind") == k, F.array(*(F.lit(x) if x in texts else c(x) for x in layout))) for k, layout in enumerate(layouts)))
     length = F.coalesce(*(F.when(kind == k, len(layout)) for k, layout in enumerate(layouts)))
     before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
     rows = table(spark, sf_dir, "lineitem").withColumn("before", F.coalesce(F.sum(length).over(before), F.lit(0)))
-    return rows.select(c("l_orderkey").alias("paste"), "before", F.posexplode(chosen).alias("o", "line")).select("paste", (c("before") + c("o") + 1).alias("no"), "line")
+    return rows.select("l_orderkey", "before", *(x.alias(name) for name, x in parts.items())).select(c("l_orderkey").alias("paste"), "before", F.posexplode(chosen).alias("o", "line")).select("paste", (c("before") + c("o") + 1).alias("no"), "line")
 
 
 def pasted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
